@@ -3,7 +3,7 @@
 Pieces of at most one sequence's length are dealt into partitions of a fixed number of pieces, and each partition is
 packed by best fit decreasing. A partition is certified when its bin count equals a lower bound from dual feasible
 functions. Partitions with a gap give the documents of their loosest sequences to a common pool, which is dealt anew
-and packed again; what the pool leaves open goes on to the next round, until all is certified or nothing improves.
+and packed again; what the pool leaves open goes on to the next round, until all is certified or one partition holds the pool.
 """
 
 from __future__ import annotations
@@ -128,22 +128,20 @@ def _packer(capacity: int, tag: int):
 
 def assign(lengths: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """(row, length) in; (row, sequence_id, offset) out, one row per piece."""
-    pool, done, before = lengths, [], None
+    pool, done = lengths, []
     for tag in range(rounds):
         n = pool.count()
         if tag and not n:
             break
-        groups = max(1, -(-n // group_pieces))
+        groups = max(1, -(-n // (group_pieces << tag)))  # the pool is smaller than what it came from: its partitions can be larger
         dealt = pool.withColumn("g", F.pmod(F.xxhash64(F.lit(tag), "row"), F.lit(groups)))
         packed = dealt.groupBy("g").applyInPandas(_packer(capacity, tag), "row long, length long, sequence_id long, offset long, given boolean, gap long")
         packed = materialise(packed, "packed")
-        # One group that has seen all of the pool can't be improved by exchange, nor a pool that no longer shrinks.
-        last = groups == 1 or tag == rounds - 1 or before is not None and n >= before
-        if last:
+        if groups == 1 or tag == rounds - 1:  # one partition has nobody to exchange with
             done.append(packed.select("row", "sequence_id", "offset"))
             break
         done.append(packed.filter("not given").select("row", "sequence_id", "offset"))
-        pool, before = packed.filter("given").select("row", "length"), n
+        pool = packed.filter("given").select("row", "length")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
