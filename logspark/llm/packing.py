@@ -2,8 +2,9 @@
 
 Pieces of at most one sequence's length are dealt into partitions of a fixed number of pieces, and each partition is
 packed by best fit decreasing. A partition is certified when its bin count equals a lower bound from dual feasible
-functions. Partitions with a gap give the documents of their loosest sequences to a common pool, which is dealt anew
-and packed again; what the pool leaves open goes on to the next round, until all is certified or one partition holds the pool.
+functions. Partitions give the documents of their loosest sequences, the more the wider their gap, to a common pool,
+which is dealt anew and packed again; what the pool leaves open goes on to the next round, until one partition holds
+the pool.
 """
 
 from __future__ import annotations
@@ -108,13 +109,13 @@ def _pack(pdf: pd.DataFrame, capacity: int, tag: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
     lengths = pdf["length"].to_numpy()
     bins, offsets, used = best_fit(lengths, capacity)
+    # Beside the certified gap there is what rounding up to whole sequences leaves open in each partition.
     gap = used - lower_bound(lengths, capacity)
     fill = np.bincount(bins, weights=lengths, minlength=used)
+    loose = np.argsort(fill, kind="stable")
+    loose = loose[fill[loose] < 0.99 * capacity]
     give = np.zeros(used, dtype=bool)
-    if gap:  # the loosest sequences, twice the gap and some to mix with
-        loose = np.argsort(fill, kind="stable")
-        loose = loose[fill[loose] < capacity]
-        give[loose[: max(8, 4 * gap)]] = True
+    give[loose[: 8 + 4 * gap]] = True
     group = int(pdf["g"].iloc[0])
     return pd.DataFrame({
         "row": pdf["row"], "length": lengths, "sequence_id": (tag << 56) + (group << 24) + bins, "offset": offsets,
