@@ -15,21 +15,10 @@ import numpy as np
 #: Characters whose case folding, normal form and class are the same in every library that takes part.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įĴ-ķĹ-ľŁ-ňŊ-ŷ]")
 _LETTERS = "a-zß-öø-ŷ"
+#: Pieces of each of the two generations of a worker's cache; what is met again moves to the young one.
 _CACHED = 400_000
 
 
-class _Pieces(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHED:
-            self.clear()
-        ids = self[piece] = self.encode(piece)
-        return ids
-
-
 class WordTokenizer:
     """``ids(text)``: little-endian unsigned 32-bit ids, without special tokens added."""
 
@@ -49,15 +38,37 @@ class WordTokenizer:
             re.fullmatch(r"'[a-z]+", x) for x in given.removesuffix(end).strip("|").split("|")
         )
         self.find = re.compile(given.removesuffix(end) + rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+").findall
-        self.pieces = _Pieces(self._encode)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Look up new pieces in one call: joined by blanks they stay the words that they are, and each id names its word."""
+        encoding = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, word = np.array(encoding.ids, dtype="<u4"), np.array(encoding.word_ids, dtype=np.int64)
+        if len(ids) and word[-1] != len(pieces) - 1:
+            raise RuntimeError("the tokenizer parts words in another way")
+        data, ends = ids.tobytes(), (4 * np.searchsorted(word, np.arange(len(pieces)), side="right")).tolist()
+        start = 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.young[piece] = data[start:end]
+            start = end
+
     def ids(self, text: str) -> bytes:
         if not self.fast or _PLAIN.search(text) or any(s in text for s in self.special):
             return self._encode(text)
-        return b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
+        found, young = self.find(text.lower()), self.young
+        if missing := [x for x in set(found) if x not in young]:
+            new = [x for x in missing if x not in self.old]
+            young.update((x, self.old[x]) for x in missing if x in self.old)
+            if new:
+                self._learn(new)
+        out = b"".join([young[x] for x in found])
+        if len(young) > _CACHED:
+            self.old, self.young = young, {}
+        return out
 
 
 _loaded: dict[str, WordTokenizer] = {}
