@@ -140,16 +140,16 @@ def detect(line: str) -> Format | None:
     return next((f for f in ALL if f.detect(line)), None)
 
 
-def parse(lines, fmt: Format, names: list[str]):
+def parse(lines, fmt: Format | None, names: list[str]):
     """The named String fields of a DataFrame with one column ``value``; malformed lines go. ``_line`` is the line itself."""
     value = F.col("value")
     wanted = [k for k in names if k != LINE]
     line = [value.alias(LINE)] if LINE in names else []
+    if not wanted:
+        return lines.select(*line)
     if fmt.name == "JSONL":
-        if not wanted:
-            return lines.select(*line)
         row = lines.select("value", json_line(value, wanted).alias("parts")).filter("parts is not null")
         return row.select(*[F.get("parts", F.lit(i)).alias(k) for i, k in enumerate(wanted)], *line)
-    valid = fmt.valid(value) if wanted else None
+    valid = fmt.valid(value)
     kept = lines if valid is None else lines.filter(valid)
     return kept.select(*[c.alias(k) for k, c in fmt.fields(value, wanted).items()], *line)
