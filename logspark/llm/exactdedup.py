@@ -118,7 +118,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole group has null ids. An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     ids = materialise(identities(docs, id_col, text_col, block_bytes), "text-names")
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written, so that the join below shares no shuffle with the aggregation and Spark can split the tasks of a large group.
+    groups = materialise(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "text-groups")
     rows = ids.join(groups, ["level", "name"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "level", "name")
