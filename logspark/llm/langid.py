@@ -29,6 +29,8 @@ MAX_LANGUAGES = 200
 BLOCK = 192
 #: Texts that need more phrases a character than this in every language are no language (see ``accepted``).
 MOST_PHRASES = 0.6
+#: Shorter texts are too short to be rejected by that rate.
+SHORT_TEXT = 40
 _UNKNOWN, _GAP = 0, 1
 
 
@@ -230,5 +232,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """The rows of ``docs`` in some learned language, all columns: with a letter, and not parsed in near single characters by the best language."""
     samples = learn(docs.filter(~held_out(id_col)), text_col, lang_col)
     plain, names = numbered(docs)
-    kept = predict(plain, samples, names[text_col], tuple(plain.columns)).filter((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases))
+    kept = predict(plain, samples, names[text_col], tuple(plain.columns)).filter(
+        (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= most_phrases) | (F.length(names[text_col]) < SHORT_TEXT))
+    )
     return renamed(kept, names)
