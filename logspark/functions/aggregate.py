@@ -1,11 +1,11 @@
-"""Aggregates as Spark columns; all but PERCENTILE and SUM of strings combine before the shuffle."""
+"""Aggregates as Spark columns; all but SUM of strings combine before the shuffle. PERCENTILE is an operator of its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..bind.types import FLOATING, INTEGER, STRING, Expr
+from ..bind.types import INTEGER, STRING, Expr
 
 #: Arrival order, for the one aggregate that depends on it.
 ORDINAL = "__ordinal"
@@ -25,9 +25,7 @@ def aggregate(e: Expr, arg: Column | None) -> Column:
         return F.min(arg)
     if kind == "max":
         return F.max(arg)
-    if kind == "sum":
-        return _sum(e, arg)
-    return _percentile(arg, e.args[0].type, e.data[1])
+    return _sum(e, arg)
 
 
 def _sum(e: Expr, x: Column) -> Column:
@@ -39,29 +37,3 @@ def _sum(e: Expr, x: Column) -> Column:
         return F.when(F.count(x) == 0, F.lit(0).cast("bigint")).otherwise(F.try_sum(x))
     total = F.coalesce(F.sum(x), F.lit(0.0))
     return total if e.wide else total.cast("float")
-
-
-def _text(x: Column, type_: str) -> Column:
-    """Six significant digits for floats, without trailing zeros or a point that nothing follows."""
-    if type_ != FLOATING:
-        return x.cast("string")
-    d = x.cast("double")
-    exponent = F.floor(F.log10(F.abs(d)))
-    scale = F.pow(F.lit(10.0), F.lit(5.0) - exponent)
-    rounded = F.when(d == 0, F.lit(0.0)).otherwise(F.rint(d * scale) / scale)
-    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    science = F.regexp_replace(F.format_string("%.5e", d), r"(?:\.0+|(\.[0-9]*?)0+)e", "$1e")
-    return F.when((d == 0) | ((F.abs(d) >= 1e-4) & (F.abs(rounded) < 1e6)), fixed).otherwise(science)
-
-
-def _percentile(x: Column, type_: str, shares: tuple[float, ...]) -> Column:
-    """``[a,b]``: for each share p of n values the one at index min(n - 1, floor(n * p)) in order, in 32-bit arithmetic."""
-    values = F.sort_array(F.collect_list(x))
-    n = F.count(x)
-
-    def pick(p: float) -> Column:
-        at = F.least(n - 1, F.floor(n.cast("float") * F.lit(p).cast("float")))
-        return _text(F.get(values, at.cast("int")), type_)
-
-    joined = F.concat(F.lit("["), F.concat_ws(",", *[pick(p) for p in shares]), F.lit("]"))
-    return F.when(n > 0, joined)

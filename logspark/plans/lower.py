@@ -17,7 +17,7 @@ from ..bind.types import FLOATING, NULL, OPAQUE, Expr, Field
 from ..errors import SourceError
 from ..functions import aggregate as agg
 from ..functions import scalar
-from ..operators import joins, ordering
+from ..operators import joins, ordering, percentile
 from ..sources import files, formats
 
 Needs = frozenset
@@ -193,12 +193,19 @@ class Lowering:
             rest = [F.col(f"`{f.column}`") for f in source if f.column not in key_columns]
             df = df.select(*made, *rest, *([F.col(agg.ORDINAL)] if agg.ORDINAL in df.columns else []))
         df, env = self.marks(df, inner, Env())
-        made = [agg.aggregate(a, self.column(a.args[0], env) if a.args else None).alias(f"__agg{i}") for i, a in enumerate(aggregates)]
+        shares = [(i, a) for i, a in enumerate(aggregates) if a.data[0] == "percentile"]
+        made = [agg.aggregate(a, self.column(a.args[0], env) if a.args else None).alias(f"__agg{i}") for i, a in enumerate(aggregates) if a.data[0] != "percentile"]
+        rows = df
+        names = [f.column for f, _ in keys]
         if keys:
-            by = [F.col(f"`{f.column}`") for f, _ in keys]
+            by = [F.col(f"`{k}`") for k in names]
             df = df.groupBy(*by).agg(*made) if made else df.select(*by).distinct()
         else:
             df = df.agg(*(made or [F.count(F.lit(1)).alias("__agg")]))
+            if shares:
+                names, df, rows = [percentile.ONE], df.withColumn(percentile.ONE, F.lit(1)), rows.withColumn(percentile.ONE, F.lit(1))
+        for i, a in shares:
+            df = percentile.attach(df, percentile.percentiles(rows, names, self.column(a.args[0], env), a.args[0].type, a.data[1], f"__agg{i}"), names)
         env = Env()
         env.known |= {id(a): F.col(f"__agg{i}") for i, a in enumerate(aggregates)}
         df, env = self.marks(df, [by_output[f] for f in by_output if by_output[f] in after], env)
