@@ -60,7 +60,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = dict(docs.dtypes)[id_col]
     base = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(block_bytes))).cast("int")
-    total = base.select(F.sum(size).alias("n")).first()["n"] or 0
+    sizes = base.agg(F.sum(size).alias("n"), F.max(size).alias("longest")).first()
+    total = sizes["n"] or 0
     cut = let(
         F.col("text").cast("binary"),
         lambda b: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(b, i * block_bytes + 1, F.lit(block_bytes))),
@@ -90,7 +91,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["doc_id", "text_sha256"]
     done = [level_rows.filter("n = 1").select(*key, F.lit(0).alias("level"), "name", F.col("copies").cast("long").alias("copies"))]
     level, rows = 0, level_rows.filter("n > 1")
-    longest = base.select(F.max(size).alias("m")).first()["m"] or 1
+    longest = sizes["longest"] or 1
     while longest > 1:
         level += 1
         longest = (longest + 1) // 2

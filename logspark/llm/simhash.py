@@ -212,11 +212,10 @@ def links(fps: DataFrame, radius: int = 4, limit: int = CELL_LIMIT) -> DataFrame
     found = materialise(dealt.mapInArrow(lambda it: _cells(it, radius, limit), "u long, v long"), "cell-links")
     exact = found.filter("v is not null").distinct()
     over = found.filter("v is null").select("u").distinct()
-    flips = [0] + [sum(1 << b for b in pick) for k in range(1, (radius + 1) // 2 + 1) for pick in combinations(range(64), k)]
-    flips = [m - (1 << 64) if m >> 63 else m for m in flips]
-    meet = F.explode(F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: m.bitwiseXOR(F.col("u"))))
-    if radius % 2 == 0 and not over.isEmpty():
-        points = over.select("u", meet.alias("z"))
+    if not over.isEmpty():
+        flips = [0] + [sum(1 << b for b in pick) for k in range(1, radius // 2 + 1) for pick in combinations(range(64), k)]
+        masks = F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in flips)), ",").cast("array<bigint>")
+        points = over.select("u", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("u")))).alias("z"))
         least = points.groupBy("z").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v <> w").select("z", "v")
         exact = exact.unionByName(points.join(least, "z").filter("u <> v").select("u", "v")).distinct()
     return exact
