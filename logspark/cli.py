@@ -40,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--print-ir-optimized", action="store_true", help="Spark's optimized plan")
     p.add_argument("--print-optimize-report", action="store_true", help="Spark's time by rule")
     p.add_argument("--profile-text", action="store_true", help="the executed plan with its metrics, to standard error")
+    p.add_argument("--profile-flamegraph", action="store_true", help="folded stacks of plan nodes by output rows, to prof.N.folded")
+    p.add_argument("--profile-dot-graph", action="store_true", help="the executed plans, to prof.dot")
     p.add_argument("--run", action="store_true", help="execute too when a diagnostic is asked for")
     p.add_argument("--print-stacktrace", action="store_true")
     p.add_argument("--master", help="Spark master")
@@ -61,6 +63,44 @@ def _session(args):
     return spark
 
 
+def _children(node) -> list:
+    """Inputs of a physical node, looking through adaptive wrappers and stages to what ran."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return [node.executedPlan()]
+    if name.endswith("QueryStage"):
+        return [node.plan()]
+    found = node.children()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def _rows(node) -> int:
+    metric = node.metrics().get("numOutputRows")
+    return metric.get().value() if metric.isDefined() else 0
+
+
+def folded(node, above: str = "") -> list[str]:
+    path = f"{above};{node.nodeName().strip()}" if above else node.nodeName().strip()
+    return [f"{path} {_rows(node)}", *(line for c in _children(node) for line in folded(c, path))]
+
+
+def dot(roots: list) -> str:
+    """A graph of the physical nodes of all plans with their output rows."""
+    lines, number = ["digraph plans {"], 0
+
+    def visit(node) -> int:
+        nonlocal number
+        own = number = number + 1
+        lines.append(f'  n{own} [label="{node.nodeName().strip()}\\n{_rows(node)} rows"];')
+        for c in _children(node):
+            lines.append(f"  n{visit(c)} -> n{own};")
+        return own
+
+    for root in roots:
+        visit(root)
+    return "\n".join([*lines, "}"]) + "\n"
+
+
 def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     args, out = parser().parse_args(argv), out or sys.stdout
     if args.program:
@@ -93,10 +133,19 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
                 if args.explain:
                     out.write(plan.toString() + "\n")
         if not diagnose or args.run:
-            for result in results:
-                write(result, args.format, out)
+            ran = []
+            for number, result in enumerate(results, 1):
+                frame = result.frame
+                write(result, args.format, out, frame)
+                ran.append(plan := frame._jdf.queryExecution().executedPlan())
                 if args.profile_text:
-                    sys.stderr.write(result.frame._jdf.queryExecution().executedPlan().toString() + "\n")
+                    sys.stderr.write(plan.toString() + "\n")
+                if args.profile_flamegraph:
+                    with open(f"prof.{number}.folded", "w", encoding="utf-8") as f:
+                        f.write("\n".join(folded(plan)) + "\n")
+            if args.profile_dot_graph:
+                with open("prof.dot", "w", encoding="utf-8") as f:
+                    f.write(dot(ran))
         return 0
     except ProgramError as e:
         if args.print_stacktrace:

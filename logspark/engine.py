@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,13 @@ class Result:
 
 
 class Engine:
-    """Runs programs on a session. Paths are relative to ``base``; ``$name`` also means a registered table."""
+    """Runs programs on a session. Paths are relative to ``base``; ``$name`` also means a registered table, or one that ``find`` knows."""
 
-    def __init__(self, spark: SparkSession, base: str | None = None, time_from: str | None = None, time_to: str | None = None, allow_stream: bool = False):
-        self.spark = spark
+    def __init__(
+        self, spark: SparkSession, base: str | None = None, time_from: str | None = None, time_to: str | None = None, allow_stream: bool = False,
+        find: Callable[[str], DataFrame | None] | None = None,
+    ):
+        self.spark, self.find = spark, find or (lambda name: None)
         self.options = Options(base, time_from, time_to, allow_stream)
         self.tables: dict[str, r.Catalog] = {}
 
@@ -53,9 +57,14 @@ class Engine:
         wide = {f.name for f in frame.schema.fields if isinstance(f.dataType, T.DoubleType)}
         self.tables[name] = r.Catalog(name, frame, fields, wide)
 
+    def table(self, name: str) -> r.Catalog | None:
+        if name not in self.tables and (frame := self.find(name)) is not None:
+            self.register(name, frame)
+        return self.tables.get(name)
+
     def bind(self, program: str) -> list[tuple[str | None, r.Relation]]:
         ranged = bool(self.options.time_from or self.options.time_to)
-        return bind_program(expand_program(parse(program)), self.tables.get, ranged)
+        return bind_program(expand_program(parse(program)), self.table, ranged)
 
     def results(self, program: str) -> list[Result]:
         """One result per query of the program, in order; named relations are shared between them."""

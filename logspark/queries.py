@@ -15,20 +15,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def engine(spark: SparkSession, sf_dir: str, base: str | None = None) -> Engine:
-    """An engine that knows the tables a program may name; a table is only read if it is named."""
-    out = Engine(spark, base, allow_stream=True)
-    find = out.tables.get
-
-    class Lazy(dict):
-        def get(self, name, default=None):
-            if find(name) is None and name in TABLES:
-                out.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-            return find(name)
-
-    lazy = Lazy()
-    out.tables, out.register = lazy, lambda name, frame: Engine.register(out, name, frame)
-    find = lambda name: dict.get(lazy, name)
-    return out
+    """An engine that knows the tables; one is only looked at if a program names it."""
+    return Engine(spark, base, allow_stream=True, find=lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else None)
 
 
 # name: (program, DuckDB SQL)
@@ -94,7 +82,7 @@ PROGRAMS: dict[str, tuple[str, str]] = {
     ),
     "in_null_safe": (
         "SELECT x, x IN (SELECT Int(anon) AS y FROM ('1', 'bad')) AS found FROM (SELECT Int(anon) AS x FROM ('1', '2', 'none'))",
-        "SELECT x, x = 1 OR x IS NULL AS found FROM (VALUES (1::BIGINT), (2), (NULL)) t(x)".replace("x = 1 OR x IS NULL", "coalesce(x = 1, TRUE)"),
+        "SELECT x, coalesce(x = 1, TRUE) AS found FROM (VALUES (1::BIGINT), (2), (NULL)) t(x)",
     ),
     "having_in": (
         "SELECT c_nationkey, COUNT(*) AS n FROM $customer GROUP BY c_nationkey HAVING c_nationkey IN (SELECT n_nationkey FROM $nation WHERE n_regionkey = 1)",

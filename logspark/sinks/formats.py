@@ -8,6 +8,8 @@ import unicodedata
 from collections.abc import Iterator
 from typing import TextIO
 
+from pyspark.sql import DataFrame
+
 from ..engine import Result
 
 
@@ -70,9 +72,9 @@ def table_rows(names: list[str], rows: Iterator) -> Iterator[str]:
 FORMATS = {"JSON": json_rows, "TSKV": tskv_rows, "CSVHeader": csv_rows, "PrettyTable": table_rows}
 
 
-def write(result: Result, fmt: str, out: TextIO) -> None:
-    """One result and the blank line after it."""
-    rows = (tuple(row) for row in result.frame.toLocalIterator(prefetchPartitions=True))
+def write(result: Result, fmt: str, out: TextIO, frame: DataFrame | None = None) -> None:
+    """One result and the blank line after it; ``frame``: the result's, if the caller wants to look at it later."""
+    rows = (tuple(row) for row in (result.frame if frame is None else frame).toLocalIterator(prefetchPartitions=True))
     for line in FORMATS[fmt]([f.name for f in result.fields], rows):
         out.write(line + "\n")
     out.write("\n")
