@@ -48,7 +48,8 @@ class Lowering:
         self.spark, self.options = spark, options or Options()
         self.frames: dict[tuple[int, Needs], DataFrame] = {}
         self.kept: dict[int, DataFrame] = {}
-        self.scans: dict[int, tuple] = {}
+        self.scans: dict[int, tuple[str, DataFrame]] = {}
+        self.detected: dict[int, formats.Format | None] = {}
 
     def query(self, rel: r.Relation) -> DataFrame:
         """All fields of a relation, columns under the user's names."""
@@ -86,7 +87,9 @@ class Lowering:
         ranged = (start or end) and not files.is_archive(path)
         fmt = None
         if any(k != formats.LINE for k in names) or (ranged and not rel.time_format):
-            fmt = files.detect(lines)
+            if id(rel) not in self.detected:
+                self.detected[id(rel)] = files.detect(lines)
+            fmt = self.detected[id(rel)]
         if ranged:
             lines = files.in_range(lines, path, fmt, rel.time_format, start, end, rel.seconds)
         return self._parsed(lines, fmt, names)
