@@ -16,7 +16,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, numbered, renamed
+from ._common import WORD, materialise, numbered, renamed
 
 #: The most often that a document may be taken.
 MAX_REPEATS = 3
@@ -120,15 +120,19 @@ def fill(units: list[tuple[int, int]], gap: float) -> set[int]:
     return chosen
 
 
-def _ranked(docs: DataFrame, members: Column | None, id_col: str, text_col: str, source_col: str, weights: tuple, repeats: int, seed: int) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __times."""
+def _ranked(docs: DataFrame, members: Column | None, id_col: str, text_col: str, source_col: str, weights: tuple, repeats: int, seed: int, slim: bool) -> DataFrame:
+    """``docs`` (slim: their ids alone) with __size, __source_size, __target and __times. Texts are read once for all counting passes."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own = F.array(F.col(source_col).cast("string")) if members is None else F.array_sort(F.array_distinct(members))
     wide = docs.withColumns({"__size": size, "__pattern": own, "__source": F.col(source_col).cast("string")})
     wide = wide.withColumn("__rank", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__source"), F.col("__size")), 64 - _RANK_BITS))
-    slim = wide.select("__pattern", "__size", "__source", "__rank")
-    got = slim.groupBy("__pattern", "__source").agg(F.sum("__size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    counted = ["__pattern", "__size", "__source", "__rank"]
+    if slim:
+        wide = numbers = materialise(wide.select(F.col(id_col), *counted), "mix-sizes")
+    else:
+        numbers = materialise(wide.select(*counted), "mix-sizes")
+    got = numbers.groupBy("__pattern", "__source").agg(F.sum("__size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(got) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     sizes: dict = {}
@@ -145,7 +149,7 @@ def _ranked(docs: DataFrame, members: Column | None, id_col: str, text_col: str,
     full = {p: min(repeats, int((taken[p] + 1e-6) // w)) if w else 0 for p, w in patterns.items()}
     gap = {p: max(0.0, taken[p] - full[p] * w) if full[p] < repeats else 0.0 for p, w in patterns.items()}
     order = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
-    cut, picked = _cut(slim, order, {i: gap[p] for i, p in enumerate(order) if gap[p] > 0})
+    cut, picked = _cut(numbers, order, {i: gap[p] for i, p in enumerate(order) if gap[p] > 0})
     # All three tables are bounded: patterns by MAX_PATTERNS, boundary units by BOUNDARY_DOCS a pattern.
     plan = spark.createDataFrame([(list(p), full[p], cut.get(i)) for i, p in enumerate(order)], "__pattern array<string>, __full int, __low long")
     source_plan = spark.createDataFrame([(s, sizes[s], want[s]) for s in sizes], "__source string, __source_size long, __target double")
@@ -167,7 +171,7 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     gives an empty result. Other columns are ignored. Reruns agree: the order is a hash with a fixed seed.
     """
     own = docs.select(*{id_col: F.col(id_col), text_col: F.col(text_col), source_col: F.col(source_col)}.values(), *([] if members is None else [members.alias("__members")]))
-    out = _ranked(own, None if members is None else F.col("__members"), id_col, text_col, source_col, weights, repeats, seed)
+    out = _ranked(own, None if members is None else F.col("__members"), id_col, text_col, source_col, weights, repeats, seed, True)
     return out.select(
         F.col(id_col).alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         F.col("__times").alias("times"), (F.col("__size") * F.col("__times")).alias("taken"),
@@ -179,7 +183,7 @@ def mixture(docs: DataFrame, members: Column | None = None, id_col: str = "doc_i
     """``docs`` as ``mix`` takes them: each row as many times as it is taken, with its own columns."""
     plain, names = numbered(docs if members is None else docs.withColumn("__members", members))
     held = None if members is None else F.col(names.pop("__members"))
-    out = _ranked(plain, held, names[id_col], names[text_col], names[source_col], weights, repeats, seed).filter("__times > 0")
+    out = _ranked(plain, held, names[id_col], names[text_col], names[source_col], weights, repeats, seed, False).filter("__times > 0")
     return renamed(out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))), names)
 
 

@@ -46,7 +46,7 @@ def test_exact(stages):
 
 def test_near(stages):
     table = rows(stages[1])
-    comp = brute_components([r["doc_id"] for r in table], [fingerprint(r["text"], 5) for r in table])
+    comp = brute_components([r["doc_id"] for r in table], [fingerprint(r["text"], 4) for r in table])
     assert sorted(r["doc_id"] for r in rows(stages[2])) == sorted(set(comp))
 
 
