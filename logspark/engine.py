@@ -14,6 +14,7 @@ from .bind.types import BOOLEAN, FLOATING, INTEGER, NULL, OPAQUE, STRING, Field
 from .errors import BindError
 from .lang import expand_program, parse
 from .plans import Lowering, Options
+from .ship import ship
 
 
 def field_type(kind: T.DataType) -> str:
@@ -68,6 +69,7 @@ class Engine:
 
     def results(self, program: str) -> list[Result]:
         """One result per query of the program, in order; named relations are shared between them."""
+        ship(self.spark)
         lowering = Lowering(self.spark, self.options)
         return [Result(rel, lowering) for name, rel in self.bind(program) if name is None]
 
