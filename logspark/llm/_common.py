@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: ASCII blanks, the separators of words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +19,7 @@ _written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -74,6 +77,7 @@ def let(value, body):
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra ones, clashing or not, never reach an operator."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
@@ -84,6 +88,7 @@ def crc_mod5(id_col: str = "doc_id"):
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns c0, c1, ... and the new name of each old one, so that helper columns can't clash."""
+    ship(docs.sparkSession)
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {n: f"c{i}" for i, n in enumerate(docs.columns)}
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from ._common import materialise, shared_dir
 from .tokenize import load
 
@@ -103,6 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Rec
 
 def counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, pieces, words) of every row: ids of ``tokenizer``, and words between ASCII blanks; null texts count as empty."""
+    ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text_col).alias("text"))
     return base.mapInArrow(lambda it: _count(it, tokenizer), f"doc_id {dict(docs.dtypes)[id_col]}, source string, lang string, pieces long, words long")
 
