@@ -30,13 +30,19 @@ def located(path: str, base: str | None) -> str:
     return "file://" + os.path.abspath(os.path.join(base or ".", path))
 
 
-def _open_tail(spark: SparkSession, path: str) -> str | None:
-    """The last line of a plain file if nothing ends it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+def _found(spark: SparkSession, path: str):
+    """(file system, path) of something that exists."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         raise SourceError(f"can't open {path}")
+    return fs, at
+
+
+def _open_tail(spark: SparkSession, path: str) -> str | None:
+    """The last line of a plain file if nothing ends it."""
+    jvm = spark.sparkContext._jvm
+    fs, at = _found(spark, path)
     status = fs.getFileStatus(at)
     if status.isDirectory() or not status.getLen():
         return None
@@ -60,6 +66,7 @@ def _open_tail(spark: SparkSession, path: str) -> str | None:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line in a column ``value``. A carriage return stays. A last line that nothing ends is dropped from a plain file, not from an archive."""
+    _found(spark, path)
     df = spark.read.option("lineSep", "\n").text(path)
     if is_archive(path) or (tail := _open_tail(spark, path)) is None:
         return df
