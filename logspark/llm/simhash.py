@@ -84,11 +84,11 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, h, fp long): one row per row of ``docs``; h is a hash of the text, which tells apart rows with one id."""
-    base = only(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", _text_hash("text").alias("h"), "text")
+    base = only(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_hash("text").alias("h"), "text")
     return base.mapInArrow(lambda it: _fingerprint(it, shingle), f"doc_id {dict(docs.dtypes)[id_col]}, h long, fp long")
 
 
-def _text_hash(text_col: str):
+def text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
@@ -248,10 +248,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, limit: int = CELL_LIMIT) -> DataFrame:
     """One document of each component stays, the one with the least id, with all its columns; of repeated rows one stays."""
-    _, member = _classes(docs, id_col, text_col, shingle, radius, limit)
+    return keep_first(docs, _classes(docs, id_col, text_col, shingle, radius, limit)[1], id_col, text_col)
+
+
+def keep_first(docs: DataFrame, member: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the least of a root in ``member`` (least, root), all columns; of repeated rows one."""
     key = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("i"), c.cast("string")))  # noqa: E731  a null-safe key that is plain equality
     first = member.groupBy("root").agg(F.min("least").alias("first"))
     stay = first.select(key(F.col("first.doc_id")).alias("__id"), F.col("first.h").alias("__h"))
     plain, names = numbered(docs)
-    own = plain.withColumn("__id", key(F.col(names[id_col]))).withColumn("__h", _text_hash(names[text_col]))
+    own = plain.withColumn("__id", key(F.col(names[id_col]))).withColumn("__h", text_hash(names[text_col]))
     return renamed(own.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]), names)
