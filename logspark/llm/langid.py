@@ -5,9 +5,10 @@ phrase is the longest prefix of what remains that occurs anywhere in the labelle
 until it has no transition. The language that needs the fewest phrases, each weighed by the bits that point into its
 labelled text, wins.
 
-Whole texts are parsed, in blocks of ``BLOCK`` characters so that all blocks of a batch and all languages advance
-together, one character a step; phrases end with their block. The labelled sample is bounded (``SAMPLE_CHARS`` a
-language, in slices), which is the only place where text is sampled: predictions read every character.
+Whole texts are parsed, in blocks of ``BLOCK`` characters so that all blocks of a batch advance together, one character
+a step; phrases end with their block, which adds at most one phrase a block to each language. The labelled sample is
+bounded (``SAMPLE_CHARS`` a language, in slices; less where many languages share ``TABLE_BYTES``), which is the only
+place where text is sampled: predictions read every character.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from ._common import crc_mod5, numbered, only, renamed
 #: Code points of labelled text a language is learned from, and the most that one row gives.
 SAMPLE_CHARS = 32_768
 SLICE_CHARS = 2_048
-MAX_LANGUAGES = 200
+#: Bounds of the fit: the languages with the most rows that are learned, and the bytes of all their transitions.
+MAX_LANGUAGES = 2_000
+TABLE_BYTES = 256 << 20
 BLOCK = 192
-#: Texts that need more phrases a character than this in every language are no language (see ``accepted``).
-MOST_PHRASES = 0.6
+#: Texts that need more phrases a character in every language than labelled ones do, by this factor, are no language
+#: (see ``accepted``); the limit lies between these two rates.
+MARGIN, LEAST_RATE, MOST_PHRASES = 1.5, 0.3, 0.6
 #: Shorter texts are too short to be rejected by that rate.
 SHORT_TEXT = 40
 _UNKNOWN, _GAP = 0, 1
@@ -50,7 +54,7 @@ class Model:
         for k, c in enumerate(letters, 2):
             self.classes[ord(c)] = k
         width = self.width = len(letters) + 3  # the last class is padding
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, self.starts, self.bits, base = [], [], [], 0
         for lang in self.languages:
             text = self.normal(samples[lang])
             nexts = _automaton(text.tolist())
@@ -59,14 +63,18 @@ class Model:
                 if move:
                     table[state, list(move)] = list(move.values())
             table[:, _UNKNOWN] = -1
-            # A missing transition ends the phrase; the next begins with this character. Entries: (row start << 1) | phrase ended.
-            restart = np.where(table[0] >= 0, table[0], 0)
+            # Entries: (row start << 1) | a phrase begins. With no transition a phrase begins with this character: after it
+            # stands what the root has for it, or, if no sample has the character, the last row, where a phrase begins with
+            # any character. That row is also where blocks start.
+            none = len(nexts)
+            restart = np.where(table[0] >= 0, table[0], none)
+            table = np.vstack([table, np.full((1, width), -1, dtype=np.int64)])
             full = np.where(table >= 0, ((table + base) * width) << 1, (((restart + base) * width) << 1) | 1)
-            full[:, width - 1] = ((np.arange(len(nexts)) + base) * width) << 1
+            full[:, width - 1] = ((np.arange(none + 1) + base) * width) << 1
             tables.append(full)
-            self.roots.append(base * width)
+            self.starts.append((none + base) * width)
             self.bits.append(math.log2(max(2, len(text))))
-            base += len(nexts)
+            base += none + 1
         self.table = np.concatenate([t.ravel() for t in tables]).astype(np.int64 if base * width > 2**29 else np.int32)
 
     def normal(self, text: str) -> np.ndarray:
@@ -94,9 +102,9 @@ class Model:
         steps = np.ascontiguousarray(grid.T)
         longest = BLOCK if (sizes >= BLOCK).any() else int(sizes.max())
         some = np.flatnonzero(blocks)
-        for lang, root in enumerate(self.roots):
-            at = np.full(grid.shape[0], root, dtype=self.table.dtype)
-            count = np.ones(grid.shape[0], dtype=np.int32)
+        for lang, start in enumerate(self.starts):
+            at = np.full(grid.shape[0], start, dtype=self.table.dtype)
+            count = np.zeros(grid.shape[0], dtype=np.int32)
             for t in range(longest):
                 move = self.table.take(at + steps[t])
                 count += move & 1
@@ -148,35 +156,45 @@ def _automaton(text: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> dict[str, str]:
-    """{language: sample}: slices of rows chosen by a hash, up to ``sample_chars`` code points a language.
+def draw(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> tuple[dict[str, str], list[str]]:
+    """({language: sample}, slices left over): slices of distinct texts chosen by a hash, up to ``sample_chars`` code points a language.
 
-    Rows without text or language are passed over. Repeated rows count once. Fails beyond MAX_LANGUAGES languages.
+    Rows without text or language are passed over. Copies of a text count once, so that a language of few distinct texts
+    gets them all. Beyond MAX_LANGUAGES languages those with the most rows are learned (ties by code point), and samples
+    are shortened alike until the transition table fits TABLE_BYTES.
     """
     spark = labelled.sparkSession
-    base = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null and text <> ''")
-    counts = base.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    h = F.xxhash64(F.lit(seed), "text")
+    base = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null and text <> ''")
+    counts = base.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(h).alias("texts")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return {}
-    # Four times the rows that full slices would need, so that short rows fill the sample too.
-    rows = 4 * -(-sample_chars // SLICE_CHARS)
+        return {}, []
+    # Four times the texts that full slices would need, so that short ones fill the sample too.
+    most = 4 * -(-sample_chars // SLICE_CHARS)
     scale = 1 << 30
-    part = spark.createDataFrame([(r["lang"], min(scale, 1 + scale * rows // r["count"])) for r in counts], "lang string, part long")
-    h = F.xxhash64(F.lit(seed), "text")
+    part = spark.createDataFrame([(r["lang"], min(scale, 1 + scale * most // max(1, r["texts"]))) for r in counts], "lang string, part long")
     start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SLICE_CHARS + 1)).cast("int") + 1
     chosen = (
         base.withColumn("h", h).join(F.broadcast(part), "lang").filter(F.pmod("h", F.lit(scale)) < F.col("part"))
         .select("lang", "h", F.col("text").substr(start, F.lit(SLICE_CHARS)).alias("slice")).distinct()
     )
-    samples: dict[str, list[str]] = {}
-    room = {r["lang"]: sample_chars for r in counts}
+    samples: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    room, spare = dict.fromkeys(samples, sample_chars), []
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["slice"])):
         if room[r["lang"]] > 0:
-            samples.setdefault(r["lang"], []).append(r["slice"][: room[r["lang"]]])
+            samples[r["lang"]].append(r["slice"][: room[r["lang"]]])
             room[r["lang"]] -= len(samples[r["lang"]][-1]) + 1
-    return {k: "\n".join(v) for k, v in samples.items()}
+        else:
+            spare.append(r["slice"])
+    joined = {k: "\n".join(v) for k, v in samples.items() if v}
+    letters = {c for s in joined.values() for c in s.lower()}
+    each = max(64, TABLE_BYTES // (8 * (len(letters) + 3) * max(1, len(joined))))  # two states a character at most, four bytes a transition
+    return {k: v[:each] for k, v in joined.items()}, spare
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> dict[str, str]:
+    """{language: sample}; see ``draw``."""
+    return draw(labelled, text_col, lang_col, sample_chars, seed)[0]
 
 
 _models: dict[int, Model] = {}
@@ -228,11 +246,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(base, samples, "text", ("doc_id", "held_out"))
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_phrases: float = MOST_PHRASES) -> DataFrame:
-    """The rows of ``docs`` in some learned language, all columns: with a letter, and not parsed in near single characters by the best language."""
-    samples = learn(docs.filter(~held_out(id_col)), text_col, lang_col)
+def rate_limit(samples: dict[str, str], spare: list[str]) -> float:
+    """The most phrases a character that a text may need in its best language: MARGIN times what labelled slices outside the samples need."""
+    long = [s for s in spare if len(s) >= SHORT_TEXT]
+    if not samples or not long:
+        return MOST_PHRASES
+    return float(min(MOST_PHRASES, max(LEAST_RATE, MARGIN * _model(samples).predict(long)[2].max())))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_phrases: float | None = None) -> DataFrame:
+    """The rows of ``docs`` in some learned language, all columns: with a letter, and not parsed in near single characters by the best language.
+
+    ``most_phrases``: the phrases a character beyond which a text of SHORT_TEXT characters or more is rejected; by default
+    calibrated on labelled slices that the samples leave over. Null, empty and letterless texts are rejected. Repeated rows
+    stay and fare alike. An empty table, or one without labels, gives an empty result.
+    """
+    samples, spare = draw(docs.filter(~held_out(id_col)), text_col, lang_col)
+    limit = rate_limit(samples, spare) if most_phrases is None else most_phrases
     plain, names = numbered(docs)
     kept = predict(plain, samples, names[text_col], tuple(plain.columns)).filter(
-        (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= most_phrases) | (F.length(names[text_col]) < SHORT_TEXT))
+        (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= limit) | (F.length(names[text_col]) < SHORT_TEXT))
     )
     return renamed(kept, names)

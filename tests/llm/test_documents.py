@@ -323,6 +323,49 @@ def test_cross_parse_equals_brute_force(monkeypatch):
             assert n == sum(brute_phrases(own[k : k + 40], s.replace("\x00", "\x01")) for k in range(0, len(own), 40))
 
 
+def test_unknown_letters_are_phrases():
+    model = langid.Model({"en": "the cat sat on the mat"})
+    counts, _ = model.phrases(["the qq mat", "the zcat", "zzz", "the cat", ""])
+    assert counts[:, 0].tolist() == [4, 3, 3, 1, 0]
+
+
+def test_a_language_of_copies_is_learned(spark):
+    rows_ = [(i, "la casa blanca de la montaña verde", "es") for i in range(4000)]
+    rows_ += [(10_000 + i, f"number {i} of the many english lines that we have here", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    samples = langid.learn(docs)
+    assert set(samples) == {"en", "es"} and samples["es"] == "la casa blanca de la montaña verde"
+    got = rows(langid.identify(docs))
+    assert all(r["lang_pred"] == ("es" if r["doc_id"] < 10_000 else "en") for r in got)
+
+
+def test_a_thousand_languages(spark, monkeypatch):
+    word = lambda k: "".join(chr(97 + (k // 26**i) % 26) for i in range(3))
+    own = lambda k: " ".join(f"{word(k)}{word(3 * k + j)}" for j in range(12))
+    docs = spark.createDataFrame([(j * 1000 + k, own(k), f"l{k:04}") for j in range(3) for k in range(1000)], "doc_id long, text string, lang string")
+    assert len(langid.learn(docs)) == 1000
+    some = docs.filter("doc_id >= 1000 and doc_id < 1040")
+    samples = langid.learn(docs.filter(~langid.held_out()))
+    got = rows(langid.predict(some, samples, carry=("doc_id", "lang")))
+    assert sum(r["lang"] == r["lang_pred"] for r in got if r["lang"] in samples) >= 0.9 * len(got)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 5)
+    assert sorted(langid.learn(docs)) == [f"l{k:04}" for k in range(5)]
+    monkeypatch.setattr(langid, "TABLE_BYTES", 8 * 100 * 5)
+    assert max(map(len, langid.learn(docs).values())) <= 5 * 100
+
+
+def test_unlearned_latin_languages_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    ]
+    odd = spark.createDataFrame([(10_001 + i, t, None, "x", len(t)) for i, t in enumerate(other)], docs.schema)
+    kept = {r["doc_id"] for r in rows(langid.accepted(docs.unionByName(odd)).select("doc_id"))}
+    assert not kept & {10_001, 10_002}
+    assert {r["doc_id"] for r in rows(docs) if any(c.isalpha() for c in r["text"] or "")} <= kept
+
+
 def test_language_accuracy(documents):
     lang = {r["doc_id"]: r["lang"] for r in rows(documents)}
     got = rows(langid.identify(documents))
