@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Unset, it is a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="logspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -66,6 +68,23 @@ def release(df: DataFrame) -> None:
         _written.discard(path)
 
 
+#: Keys that go to every task in ``spread_join``, at most.
+HEAVY_KEYS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join without a hot task: ``right`` has one row a key and in ``weight`` at least the number of ``left``'s rows with it.
+
+    ``total``: the sum of all weights. Keys of more than ``total / HEAVY_KEYS`` rows, of which there are fewer than
+    HEAVY_KEYS, are broadcast; the others are joined by a shuffle. Both sides should be written tables: they are read twice.
+    """
+    limit = total // HEAVY_KEYS + 1
+    heavy = F.broadcast(right.filter(F.col(weight) > limit))
+    light = right.filter(F.col(weight) <= limit)
+    few = left.join(heavy.select(key), key, "left_anti")
+    return left.join(heavy, key).unionByName(few.join(light, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

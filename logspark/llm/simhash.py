@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, numbered, only, partitions, renamed
+from ._common import materialise, numbered, only, partitions, renamed, spread_join
 from .graph import components
 
 #: Fingerprints of one cell that a task compares in place.
@@ -222,14 +222,14 @@ def links(fps: DataFrame, radius: int = 4, limit: int = CELL_LIMIT) -> DataFrame
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, h, fp), and (fp, root, least) for each distinct fingerprint; least: the least row, null ids last."""
+    """The rows (doc_id, h, fp), and (fp, root, least, n) for each distinct fingerprint; least: the least of its n rows, null ids last."""
     if radius % 2 or radius < 2:
         raise ValueError("radius must be even and at least 2")
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(row).alias("least")), "distinct-fingerprints")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(nodes.select("fp"), radius, limit))
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     return rows, materialise(member, "fingerprint-roots")
 
 
@@ -241,9 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result. Other columns are ignored. ``radius`` is even.
     """
     rows, member = _classes(docs, id_col, text_col, shingle, radius, limit)
-    least = member.groupBy("root").agg(F.min("least").alias("first"))
-    named = member.join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialise(member.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("nodes")), "component-names")
+    named = spread_join(member, least, "root", "nodes", member.count()).select("fp", "n", F.col("first.doc_id").alias("component_id"))
+    named = materialise(named, "fingerprint-names")
+    return spread_join(rows, named, "fp", "n", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, limit: int = CELL_LIMIT) -> DataFrame:
