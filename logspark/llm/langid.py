@@ -31,8 +31,8 @@ MAX_LANGUAGES = 2_000
 TABLE_BYTES = 256 << 20
 BLOCK = 192
 #: Texts that need more phrases a character in every language than labelled ones do, by this factor, are no language
-#: (see ``accepted``); the limit lies between these two rates.
-MARGIN, LEAST_RATE, MOST_PHRASES = 1.5, 0.3, 0.6
+#: (see ``accepted``); the limit lies between these two rates. SLACK phrases more are left to any text: rates of short ones vary.
+MARGIN, LEAST_RATE, MOST_PHRASES, SLACK = 1.5, 0.3, 0.6, 12
 #: Shorter texts are too short to be rejected by that rate.
 SHORT_TEXT = 40
 _UNKNOWN, _GAP = 0, 1
@@ -257,14 +257,14 @@ def rate_limit(samples: dict[str, str], spare: list[str]) -> float:
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_phrases: float | None = None) -> DataFrame:
     """The rows of ``docs`` in some learned language, all columns: with a letter, and not parsed in near single characters by the best language.
 
-    ``most_phrases``: the phrases a character beyond which a text of SHORT_TEXT characters or more is rejected; by default
-    calibrated on labelled slices that the samples leave over. Null, empty and letterless texts are rejected. Repeated rows
+    ``most_phrases``: the phrases a character, beside SLACK, beyond which a text of SHORT_TEXT characters or more is rejected;
+    by default calibrated on labelled slices that the samples leave over. Null, empty and letterless texts are rejected. Repeated rows
     stay and fare alike. An empty table, or one without labels, gives an empty result.
     """
     samples, spare = draw(docs.filter(~held_out(id_col)), text_col, lang_col)
     limit = rate_limit(samples, spare) if most_phrases is None else most_phrases
     plain, names = numbered(docs)
     kept = predict(plain, samples, names[text_col], tuple(plain.columns)).filter(
-        (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= limit) | (F.length(names[text_col]) < SHORT_TEXT))
+        (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= limit + SLACK / F.length(names[text_col])) | (F.length(names[text_col]) < SHORT_TEXT))
     )
     return renamed(kept, names)

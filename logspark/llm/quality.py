@@ -1,9 +1,9 @@
 """Quality score by a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes are read whole, in overlapping chunks. Learned filters slide over byte embeddings and over one
-recurrence channel (how densely six-byte strings come back within forty bytes); each filter is rectified and
-max-pooled within a chunk. The chunks' maxima are averaged and maximised over the text, and a logistic layer combines
-them into one probability. Training is plain back-propagation with Adam on the driver, over a bounded sample.
+A text's UTF-8 bytes are read whole, in overlapping chunks. Learned filters slide over byte embeddings; each filter is
+rectified and max-pooled within a chunk. The chunks' maxima are averaged and maximised over the text, and a logistic
+layer combines them into one probability. Training is plain back-propagation with Adam on the driver, over a bounded
+sample.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import crc_mod5, only
@@ -22,24 +22,8 @@ SAMPLE_ROWS = 2_500
 SLICE_BYTES = 4_096
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 4
 EMBED, FILTERS, EPOCHS = 8, 24, 12
-#: The longest distance and the span of the recurrence channel.
-RECUR, SPAN = 40, 64
 PREDICT_AT = 0.3
-
-
-def recurrence(data: np.ndarray) -> np.ndarray:
-    """Share of the last SPAN positions whose six bytes also began within the RECUR positions before."""
-    n = len(data)
-    hit = np.zeros(n, dtype=np.uint8)
-    if n > 8:
-        padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-        grams = np.zeros(n, dtype=np.uint64)
-        for k in range(6):
-            grams |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-        for d in range(2, min(RECUR, n - 1) + 1):
-            hit[d:] |= grams[d:] == grams[:-d]
-    total = np.concatenate((np.zeros(SPAN, dtype=np.int32), np.cumsum(hit, dtype=np.int32)))
-    return ((total[SPAN:] - total[:-SPAN]) / np.float32(SPAN)).astype(np.float32)
+_NOTHING = np.zeros(0, dtype=np.uint8)
 
 
 def _windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,41 +41,36 @@ class Network:
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         self.filters = rng.normal(0, 1 / np.sqrt(WIDTH * EMBED), (WIDTH, EMBED, FILTERS)).astype(np.float32)
-        self.recur = rng.normal(0, 1, FILTERS).astype(np.float32)
         self.bias = np.zeros(FILTERS, dtype=np.float32)
         self.out = np.zeros(2 * FILTERS, dtype=np.float32)
         self.out_bias = np.zeros(1, dtype=np.float32)
 
     def params(self) -> list[np.ndarray]:
-        return [self.embed, self.filters, self.recur, self.bias, self.out, self.out_bias]
+        return [self.embed, self.filters, self.bias, self.out, self.out_bias]
 
-    def responses(self, padded: np.ndarray, dense: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def responses(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Filter responses of the windows; a filter tap on a byte is a row of a small table."""
-        z = dense[at][:, None] * self.recur + self.bias
+        z = np.tile(self.bias, (len(at), 1))
         for k in range(WIDTH):
             z += (self.embed @ self.filters[k]).take(padded[at + k], axis=0)
         return z
 
-    def pooled(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    def pooled(self, data: np.ndarray, after: np.ndarray = _NOTHING) -> tuple[np.ndarray, ...]:
+        """Maxima of the chunks of ``data``, and what they are made of; ``after``: the bytes that follow, seen by the last windows only."""
         at, first = _windows(data)
-        padded = np.concatenate((data, np.zeros(WIDTH + STRIDE, dtype=np.uint8)))
-        dense = np.concatenate((recurrence(data), np.zeros(1, dtype=np.float32)))
-        z = self.responses(padded, dense, np.minimum(at, len(data)))
-        return np.maximum(np.maximum.reduceat(z, first, axis=0), 0), z, at, first, padded, dense
+        padded = np.concatenate((data, after, np.zeros(WIDTH + STRIDE, dtype=np.uint8)))
+        at = np.minimum(at, len(data))
+        z = self.responses(padded, at)
+        return np.maximum(np.maximum.reduceat(z, first, axis=0), 0), z, at, first, padded
 
     def score(self, text: str | None) -> float:
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        # Long texts go through in parts; a part starts RECUR + SPAN bytes early, so that each chunk sees what it would in one piece.
-        step, lead = 512 * (CHUNK - OVERLAP), RECUR + SPAN + 8
+        # Long texts go through in parts of whole chunks, so that each chunk sees what it would in one piece.
+        step = 512 * (CHUNK - OVERLAP)
         total, most, chunks = np.zeros(FILTERS, dtype=np.float64), np.zeros(FILTERS, dtype=np.float32), 0
         for start in range(0, max(1, len(data) - OVERLAP), step):
-            lo = max(0, start - lead)
-            dense = recurrence(data[lo : start + step + OVERLAP + 8])[start - lo :]
-            part = data[start : start + step + OVERLAP]
-            at, first = _windows(part)
-            padded = np.concatenate((part, np.zeros(WIDTH + STRIDE, dtype=np.uint8)))
-            dense = np.concatenate((dense[: len(part)], np.zeros(1, dtype=np.float32)))
-            pool = np.maximum(np.maximum.reduceat(self.responses(padded, dense, np.minimum(at, len(part))), first, axis=0), 0)
+            end = start + step + OVERLAP
+            pool = self.pooled(data[start:end], data[end : end + WIDTH])[0]
             total += pool.sum(axis=0)
             most = np.maximum(most, pool.max(axis=0))
             chunks += len(pool)
@@ -108,7 +87,6 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 11) -
     share = np.clip(np.mean([y for _, y in rows]), 0.01, 0.99)
     net.out_bias[0] = np.log(share / (1 - share))
     datas = [np.frombuffer(d, dtype=np.uint8) for d, _ in rows]
-    denses = [np.concatenate((recurrence(d), np.zeros(1, dtype=np.float32))) for d in datas]
     mean, square, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
@@ -116,19 +94,15 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 11) -
             grads = [np.zeros_like(p) for p in net.params()]
             batch = order[lo : lo + 32]
             for i in batch.tolist():
-                data, dense = datas[i], denses[i]
-                at, first = _windows(data)
-                padded = np.concatenate((data, np.zeros(WIDTH + STRIDE, dtype=np.uint8)))
-                at = np.minimum(at, len(data))
-                z = net.responses(padded, dense, at)
+                _, z, at, first, padded = net.pooled(datas[i])
                 peak = np.maximum.reduceat(z, first, axis=0)
                 pool = np.maximum(peak, 0)
                 top = pool.argmax(axis=0)
                 feats = np.concatenate((pool.mean(axis=0), pool.max(axis=0)))
                 p = 1 / (1 + np.exp(-np.clip(feats @ net.out + net.out_bias[0], -30, 30)))
                 g = np.float32(p - rows[i][1])
-                grads[4] += g * feats
-                grads[5] += g
+                grads[3] += g * feats
+                grads[4] += g
                 d_pool = np.repeat((g * net.out[:FILTERS] / len(pool))[None, :], len(pool), axis=0)
                 d_pool[top, np.arange(FILTERS)] += g * net.out[FILTERS:]
                 d_pool *= peak > 0
@@ -138,8 +112,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 11) -
                 for c in range(len(first)):
                     where[c] = first[c] + z[first[c] : ends[c]].argmax(axis=0)
                 win = at[where]
-                grads[3] += d_pool.sum(axis=0)
-                grads[2] += (d_pool * dense[win]).sum(axis=0)
+                grads[2] += d_pool.sum(axis=0)
                 for k in range(WIDTH):
                     octets = padded[win + k]
                     grads[1][k] += np.einsum("cfe,cf->ef", net.embed[octets], d_pool)
@@ -155,25 +128,34 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 11) -
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, seed: int = 3) -> list[tuple[bytes, int]]:
-    """About ``rows`` labelled (bytes, label) pairs, chosen by a hash of id and label; at most SLICE_BYTES of each."""
+    """At most ``rows`` distinct labels, those with the least hashes, with at most SLICE_BYTES of each text: (bytes, label).
+
+    Repeated labels and documents count once; a document with both labels gives both.
+    """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label is not null and id is not null")
-    known = known.filter(crc_mod5("id") != 0)
-    n = known.count()
+    known = known.filter(crc_mod5("id") != 0).withColumn("h", F.xxhash64(F.lit(seed), "id", "label"))
+    n = known.agg(F.approx_count_distinct("h")).first()[0]
     if not n:
         return []
+    # Twice the share that is needed, so that the estimate can't leave too few; the least hashes of those stay.
     scale = 1 << 30
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "label"), F.lit(scale)) < min(scale, scale * rows // n + 1)).distinct().limit(2 * rows)
-    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # 2 * rows rows at most
+    some = known.filter(F.pmod("h", F.lit(scale)) < min(scale, 2 * scale * rows // n + 1)).distinct()
+    order = [F.pmod("h", F.lit(scale)), "h", "id", "label"]
+    chosen = spark.createDataFrame(some.orderBy(*order).limit(rows).collect(), some.schema)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     start = F.pmod(F.xxhash64(text_col), F.greatest(F.lit(1), F.length(data) - SLICE_BYTES + 1)).cast("int") + 1
-    got = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select("id", "label", F.substring(data, start, F.lit(SLICE_BYTES)).alias("data")).distinct()
-    return [(bytes(r["data"]), r["label"]) for r in sorted(got.limit(4 * rows).collect(), key=lambda r: (str(r["id"]), r["label"], bytes(r["data"])))]
+    slices = docs.select(F.col(id_col).alias("id"), F.substring(data, start, F.lit(SLICE_BYTES)).alias("data"))
+    got = slices.join(F.broadcast(chosen), "id").select("h", "id", "label", "data").distinct()
+    # An id may stand for many texts: as many rows as labels stay, the first text of each label before any second one.
+    nth = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("data"), "data"))
+    got = got.withColumn("nth", nth).orderBy("nth", *order, F.xxhash64("data")).limit(rows).collect()
+    return [(bytes(r["data"]), r["label"]) for r in sorted(got, key=lambda r: (str(r["id"]), r["label"], bytes(r["data"])))]
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     net = Network()
-    net.embed, net.filters, net.recur, net.bias, net.out, net.out_bias = weights
+    net.embed, net.filters, net.bias, net.out, net.out_bias = weights
     for batch in batches:
         score = np.array([net.score(t.as_py()) for t in batch.column(2)], dtype=np.float64)
         yield pa.RecordBatch.from_arrays(

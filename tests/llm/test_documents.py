@@ -400,15 +400,59 @@ def test_quality(spark, sf, documents, odd, empty):
     assert rows(quality.classify(empty, labels.limit(0))) == []
 
 
+def brute_score(net, text):
+    """Chunk by chunk, window by window, tap by tap."""
+    data = (text or "").encode()
+    chunks = []
+    for start in range(0, max(1, len(data) - quality.OVERLAP), quality.CHUNK - quality.OVERLAP):
+        own = data[start : start + quality.CHUNK]
+        best = [0.0] * quality.FILTERS
+        for at in range(0, max(1, len(own)), quality.STRIDE):
+            taps = [data[start + at + k] if start + at + k < len(data) else 0 for k in range(quality.WIDTH)]
+            for f in range(quality.FILTERS):
+                z = net.bias[f] + sum(float(net.embed[b] @ net.filters[k][:, f]) for k, b in enumerate(taps))
+                best[f] = max(best[f], float(z))
+        chunks.append(best)
+    mean = [sum(c[f] for c in chunks) / len(chunks) for f in range(quality.FILTERS)]
+    most = [max(c[f] for c in chunks) for f in range(quality.FILTERS)]
+    logit = sum(x * float(w) for x, w in zip(mean + most, net.out, strict=True)) + float(net.out_bias[0])
+    return 1 / (1 + math.exp(-max(-30, min(30, logit))))
+
+
+def test_score_equals_brute_force():
+    import numpy as np
+
+    net = quality.Network()
+    net.out = np.linspace(-0.3, 0.3, len(net.out)).astype(np.float32)
+    for text in [None, "", "a", "seven b", "é" * 40, "plain words " * 60, "### " * 130 + "end", "x" * 512, "y" * 513, "z" * 961]:
+        assert net.score(text) == pytest.approx(brute_score(net, text), abs=1e-4), text
+
+
 def test_quality_reads_whole_texts():
     import numpy as np
 
     net = quality.Network()
-    net.out = np.ones_like(net.out)
+    net.out = np.full_like(net.out, 0.01)  # weights that keep the score away from 0 and 1
     text = "plain words " * 30_000
-    assert net.score(text) != net.score(text + "$$$ ### !!!" * 50)
+    assert 0.05 < net.score(text) < 0.95
+    assert net.score(text) != net.score(text[:-400] + "$$$ ### !!!" * 20)
+    assert net.score(text) != net.score("$$$ ### !!!" * 20 + text[400:])
     # Parts of a long text see what one piece sees.
     data = np.frombuffer((text + "## " * 9).encode(), dtype=np.uint8)
     pool = net.pooled(data)[0]
     logit = float(np.concatenate((pool.mean(axis=0), pool.max(axis=0))) @ net.out + net.out_bias[0])
     assert net.score(text + "## " * 9) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-6)
+
+
+def test_repeated_labels_count_once(spark, sf, documents):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    once = quality.sample(documents, labels, rows=60)
+    many = quality.sample(documents.unionAll(documents), labels.withColumn("x", spark_range(200)).select("doc_id", "quality"), rows=60)
+    assert once == many and len(once) == 60
+    assert len(quality.sample(documents, labels)) == len({r["doc_id"] for r in rows(labels) if zlib.crc32(str(r["doc_id"]).encode()) % 5} & {r["doc_id"] for r in rows(documents)})
+
+
+def spark_range(n):
+    from pyspark.sql import functions as F
+
+    return F.explode(F.sequence(F.lit(1), F.lit(n)))
