@@ -2,10 +2,14 @@
 
 Documents are aggregated by membership pattern (the set of sources that may count them). A flow network routes the
 capacity of the patterns to the quotas of the sources; taking a pattern's words a second or third time costs more
-each time (convex repetition costs), so repeats are spread evenly before anything is taken thrice. The flow is
-solved on the driver: its size is the number of patterns, which is checked. Documents are then selected in a seeded
-order by a radix search over hash bins, so that only counters and a bounded set of boundary documents leave the
-executors: no sort, no shuffle of documents, no window over a source.
+each time (convex repetition costs), so repeats are spread evenly before anything is taken thrice. A pattern of one
+source that no overlapping pattern touches is a component of the network with one arc, which carries the source's
+quota: those, of any number, are solved in place, as are the quotas. Only components with overlapping patterns go to
+the driver, whose size is checked.
+
+Documents are then selected in a seeded order by a radix search over hash bins: counters by pattern and bin, a window
+over a pattern's at most 1,024 bins, and a bounded set of documents around each cut. No sort, no shuffle of documents,
+no window over a source.
 """
 
 from __future__ import annotations
@@ -13,17 +17,19 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise, numbered, renamed
+from ._common import HEAVY_KEYS, WORD, materialise, numbered, partitions, release, renamed, spread_join
 
 #: The most often that a document may be taken.
 MAX_REPEATS = 3
-#: The largest network that is solved on the driver.
+#: The most patterns in components with overlapping sources, which are solved on the driver.
 MAX_PATTERNS = 20_000
-#: Documents of a pattern around the cut that are filled one by one.
-BOUNDARY_DOCS = 2_000
+#: Documents of a pattern on each side of the cut that are filled one by one, and the most picked ones that are broadcast.
+BOUNDARY_DOCS = 1_000
+BROADCAST_PICKS = 100_000
 _BIN_BITS = 10
 _RANK_BITS = 60
 
@@ -120,41 +126,110 @@ def fill(units: list[tuple[int, int]], gap: float) -> set[int]:
     return chosen
 
 
+def _key(members: Column) -> Column:
+    """A pattern as a string: one for each array of sources, nulls among them."""
+    return F.array_join(F.transform(members, lambda x: F.when(x.isNull(), "n").otherwise(F.concat(F.lit("s"), F.length(x).cast("string"), F.lit(":"), x))), "")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join with a table of one row a key; ``n``: rows of ``left`` with it, ``rows`` in all. Few keys are broadcast."""
+    if right.count() <= HEAVY_KEYS:
+        return left.join(F.broadcast(right.drop("n")), key)
+    return spread_join(left, right, key, "n", rows).drop("n")
+
+
+def source_targets(sources: DataFrame, weights: tuple = (1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
+    """(source, size) in, (source, size, target) out: ``targets`` for any number of sources; only sums leave the executors."""
+    spark = sources.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    ordered = sources.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "mix-sources")
+    # A source's place: the sources of the partitions before its own, and its place there.
+    counts = sorted((r["p"], r["n"]) for r in ordered.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, starts = 0, []
+    for p, n in counts:
+        starts.append((p, first))
+        first += n
+    place = F.broadcast(spark.createDataFrame(starts, "p long, first long"))  # one row a partition
+    nth = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights)).cast("int"))
+    weighed = ordered.withColumn("p", F.shiftright("at", 33)).join(place, "p").select("source", "size", weight.alias("weight"))
+    most = repeats * F.col("size")
+    sums = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    rest, whole = float(sums["size"] or 0), float(sums["weight"] or 0)
+    while whole:
+        above = F.lit(rest) * F.col("weight") / F.lit(whole) > most
+        r = weighed.agg(F.sum(F.when(above, most).otherwise(0)).alias("held"), F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        new = (float(sums["size"]) - r["held"], r["open"])
+        if new == (rest, whole) or not r["open"]:
+            rest, whole = new if r["open"] else (rest, whole)
+            break
+        rest, whole = new
+    target = F.least(F.lit(rest) * F.col("weight") / F.lit(whole or 1.0), most.cast("double"))
+    return weighed.select("source", "size", target.alias("target"))
+
+
+def _overlapping(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame | None:
+    """(key, taken) of the patterns in components with overlapping sources, by flow on the driver; None if there are none."""
+    spark = patterns.sparkSession
+    wide = patterns.filter(F.size("pattern") != 1)
+    if wide.isEmpty():
+        return None
+    touched = wide.select(F.explode("pattern").alias("source")).distinct().withColumn("skey", _key(F.array("source")))
+    single = patterns.filter(F.size("pattern") == 1).join(touched.select(F.col("skey").alias("key")), "key", "left_semi")
+    got = wide.unionByName(single).limit(MAX_PATTERNS + 1).collect()
+    if len(got) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns in components with overlapping sources")
+    names = {tuple(r["pattern"]): r["key"] for r in got}
+    # As many quotas as the patterns have sources; a null source is told apart by its key.
+    own = sources.withColumn("skey", _key(F.array("source"))).join(touched.select("skey"), "skey", "left_semi")
+    quotas = {r["source"]: r["target"] for r in own.select("source", "target").collect()}
+    taken = dict.fromkeys(names, 0.0)
+    for (p, _), words in flow({tuple(r["pattern"]): r["words"] for r in got}, quotas, repeats).items():
+        taken[p] += words
+    return spark.createDataFrame([(names[p], float(t)) for p, t in taken.items()], "key string, taken double")
+
+
 def _ranked(docs: DataFrame, members: Column | None, id_col: str, text_col: str, source_col: str, weights: tuple, repeats: int, seed: int, slim: bool) -> DataFrame:
     """``docs`` (slim: their ids alone) with __size, __source_size, __target and __times. Texts are read once for all counting passes."""
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own = F.array(F.col(source_col).cast("string")) if members is None else F.array_sort(F.array_distinct(members))
-    wide = docs.withColumns({"__size": size, "__pattern": own, "__source": F.col(source_col).cast("string")})
+    source = F.col(source_col).cast("string")
+    wide = docs.withColumns({"__size": size, "__source": source, "__skey": _key(F.array(source))})
     wide = wide.withColumn("__rank", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__source"), F.col("__size")), 64 - _RANK_BITS))
-    counted = ["__pattern", "__size", "__source", "__rank"]
-    if slim:
-        wide = numbers = materialise(wide.select(F.col(id_col), *counted), "mix-sizes")
-    else:
-        numbers = materialise(wide.select(*counted), "mix-sizes")
-    got = numbers.groupBy("__pattern", "__source").agg(F.sum("__size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(got) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    sizes: dict = {}
-    patterns: dict = {}
-    for r in got:
-        p = tuple(r["__pattern"] or ())
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + r["words"]
-        patterns[p] = patterns.get(p, 0) + r["words"]
-    want = targets(sizes, weights, repeats)
-    taken = dict.fromkeys(patterns, 0.0)
-    for (p, _), words in flow(patterns, want, repeats).items():
-        taken[p] += words
-    full = {p: min(repeats, int((taken[p] + 1e-6) // w)) if w else 0 for p, w in patterns.items()}
-    gap = {p: max(0.0, taken[p] - full[p] * w) if full[p] < repeats else 0.0 for p, w in patterns.items()}
-    order = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
-    cut, picked = _cut(numbers, order, {i: gap[p] for i, p in enumerate(order) if gap[p] > 0})
-    # All three tables are bounded: patterns by MAX_PATTERNS, boundary units by BOUNDARY_DOCS a pattern.
-    plan = spark.createDataFrame([(list(p), full[p], cut.get(i)) for i, p in enumerate(order)], "__pattern array<string>, __full int, __low long")
-    source_plan = spark.createDataFrame([(s, sizes[s], want[s]) for s in sizes], "__source string, __source_size long, __target double")
-    extra = spark.createDataFrame([(order[i], k, 1) for i, keys in picked.items() for k in sorted(keys)], "__pattern array<string>, __rank long, __more int")
-    out = _null_safe(_null_safe(_null_safe(wide, source_plan, ["__source"]), plan, ["__pattern"]), extra, ["__pattern", "__rank"])
+    pattern = F.array("__source") if members is None else F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
+    wide = wide.withColumn("__pattern", pattern).withColumn("__key", _key(F.col("__pattern")))
+    counted = ["__pattern", "__key", "__skey", "__size", "__source", "__rank"]
+    numbers = materialise(wide.select(F.col(id_col), *counted) if slim else wide.select(*counted), "mix-sizes")
+    wide = numbers if slim else wide
+    pairs = numbers.groupBy("__key", "__skey").agg(
+        F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("__pattern").alias("pattern"), F.first("__source").alias("source")
+    )
+    pairs = materialise(pairs, "mix-pairs")
+    patterns = materialise(pairs.groupBy(F.col("__key").alias("key")).agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.first("pattern").alias("pattern")), "mix-patterns")
+    rows = patterns.agg(F.sum("n")).first()[0] or 0
+    sizes = patterns.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size"))
+    sources = materialise(source_targets(sizes, weights, repeats), "mix-targets")
+    # Where nothing overlaps, a pattern's source takes its target, which never exceeds what the pattern can give.
+    alone = sources.select(_key(F.array("source")).alias("key"), F.col("target").alias("taken"))
+    planned = patterns.join(alone, "key", "left")
+    flowed = None if members is None else _overlapping(patterns, sources, repeats)
+    if flowed is not None:
+        planned = planned.join(F.broadcast(flowed.withColumnRenamed("taken", "flowed")), "key", "left")
+        planned = planned.withColumn("taken", F.coalesce("flowed", F.when(F.size("pattern") == 1, F.col("taken"))))
+    taken = F.coalesce("taken", F.lit(0.0))
+    full = F.when(F.col("words") > 0, F.least(F.lit(repeats), F.floor((taken + 1e-6) / F.col("words")))).otherwise(0).cast("int")
+    plan = planned.select("key", "n", "words", taken.alias("taken"), full.alias("full"))
+    gap = F.when((F.col("full") < repeats) & (F.col("words") > 0), F.greatest(F.lit(0.0), F.col("taken") - F.col("full") * F.col("words"))).otherwise(0.0)
+    plan = materialise(plan.withColumn("gap", gap), "mix-plan")
+    low, picked = _cut(numbers, plan, rows)
+    plan = plan.join(low, "key", "left").select(F.col("key").alias("__key"), "n", F.col("full").alias("__full"), F.col("low").alias("__low"))
+    plan = materialise(plan, "mix-cuts")
+    own = pairs.groupBy("__skey").agg(F.sum("n").alias("n"))
+    named = sources.select(_key(F.array("source")).alias("__skey"), F.col("size").alias("__source_size"), F.col("target").alias("__target"))
+    own = materialise(own.join(named, "__skey", "left"), "mix-own-sources")
+    out = _joined(_joined(wide, own, "__skey", rows), plan, "__key", rows)
+    picked = picked.select(F.col("key").alias("__key"), F.col("rank").alias("__rank"), F.lit(1).alias("__more"))
+    out = out.join(F.broadcast(picked) if picked.count() <= BROADCAST_PICKS else picked, ["__key", "__rank"], "left")
     more = (F.coalesce(F.col("__rank") < F.col("__low"), F.lit(False)) | F.col("__more").isNotNull()).cast("int")
     times = F.when(F.col("__size") > 0, F.least(F.lit(repeats), F.col("__full") + more)).otherwise(0)
     return out.withColumn("__times", times.cast("int"))
@@ -187,63 +262,58 @@ def mixture(docs: DataFrame, members: Column | None = None, id_col: str = "doc_i
     return renamed(out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))), names)
 
 
-def _null_safe(left: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with a small table; nulls, also within arrays, equal each other."""
-    names = {k: f"{k}__r" for k in keys}
-    right = F.broadcast(small.withColumnsRenamed(names))
-    on = left[keys[0]].eqNullSafe(right[names[keys[0]]])
-    for k in keys[1:]:
-        on = on & left[k].eqNullSafe(right[names[k]])
-    return left.join(right, on, "left").drop(*names.values())
+def _fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    units = sorted(zip(pdf["rank"].tolist(), pdf["w"].tolist(), strict=True))
+    chosen = sorted(fill(units, float(pdf["gap"].iloc[0])))
+    return pd.DataFrame({"key": pdf["key"].iloc[0], "rank": pd.Series(chosen, dtype="int64")})
 
 
-def _cut(slim: DataFrame, order: list, gaps: dict) -> tuple[dict, dict]:
-    """For each pattern with a gap: the rank below which all units are taken, and the ranks taken in the boundary from there on.
+def _cut(numbers: DataFrame, plan: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, low): all units of a pattern with a rank below are taken; (key, rank): those taken in the boundary from there on.
 
-    Each pass counts words and units in 1,024 bins of the ranks in question; a boundary ends with at most
-    BOUNDARY_DOCS units, or with one rank.
+    Each pass counts words and units in 1,024 bins of the ranks in question, for all patterns with a gap at once. A
+    boundary ends with at most BOUNDARY_DOCS units on each side of its cut, or with one rank. At most six passes.
     """
-    if not gaps:
-        return {}, {}
-    spark = slim.sparkSession
-    index = spark.createDataFrame([(list(order[i]), i) for i in gaps], "__pattern array<string>, i int")
-    units = _null_safe(slim.filter("__size > 0"), index, ["__pattern"]).filter("i is not null").select("i", F.col("__rank").alias("r"), F.col("__size").alias("w"))
-    span = {i: (0, _RANK_BITS, gap) for i, gap in gaps.items()}  # first rank, bits of the range, words to take from there on
-    low, high, todo = {}, {}, set(gaps)
-    while todo:
-        bounds = F.broadcast(spark.createDataFrame([(i, *span[i][:2]) for i in todo], "i int, first long, bits int"))
-        inside = units.join(bounds, "i").filter("r >= first and shiftright(r - first, bits) = 0")
-        binned = inside.groupBy("i", F.expr(f"cast(shiftright(r - first, greatest(bits - {_BIN_BITS}, 0)) as int)").alias("bin"))
-        counts: dict = {i: [] for i in todo}
-        for r in binned.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect():
-            counts[r["i"]].append((r["bin"], r["w"], r["n"]))
-        for i in sorted(todo):
-            first, bits, gap = span[i]
-            step, bins, k, done = max(bits - _BIN_BITS, 0), sorted(counts[i]), 0, 0
-            while k < len(bins) - 1 and done + bins[k][1] <= gap:
-                done += bins[k][1]
-                k += 1
-            if bins[k][2] > BOUNDARY_DOCS and step:
-                span[i] = (first + (bins[k][0] << step), step, gap - done)
-                continue
-            # Widen the boundary to both sides of the cut while it stays within the limit.
-            a, b, n = k, k, bins[k][2]
-            while True:
-                left = a > 0 and n + bins[a - 1][2] <= BOUNDARY_DOCS
-                right = b + 1 < len(bins) and n + bins[b + 1][2] <= BOUNDARY_DOCS
-                if left and (not right or k - a <= b - k):
-                    a -= 1
-                    n += bins[a][2]
-                elif right:
-                    b += 1
-                    n += bins[b][2]
-                else:
-                    break
-            low[i], high[i] = first + (bins[a][0] << step), first + ((bins[b][0] + 1) << step) - 1
-            span[i] = (low[i], 0, gap - sum(w for _, w, _ in bins[:a]))
-            todo.discard(i)
-    bounds = F.broadcast(spark.createDataFrame([(i, low[i], high[i]) for i in low], "i int, lo long, hi long"))
-    rows: dict = {i: [] for i in low}
-    for r in units.join(bounds, "i").filter("r between lo and hi").groupBy("i", "r").agg(F.sum("w").alias("w")).collect():
-        rows[r["i"]].append((r["r"], r["w"]))
-    return low, {i: fill(sorted(own), span[i][2]) for i, own in rows.items()}
+    units = numbers.filter("__size > 0").select(F.col("__key").alias("key"), F.col("__rank").alias("rank"), F.col("__size").alias("w"))
+    open_ = materialise(plan.filter("gap > 0").select("key", "n", F.lit(0).cast("long").alias("first"), F.col("gap").alias("left")), "mix-open")
+    bits, ends = _RANK_BITS, []
+    by_bin = Window.partitionBy("key").orderBy("bin")
+    while bits and not open_.isEmpty():
+        step = max(bits - _BIN_BITS, 0)
+        inside = _joined(units, open_.select("key", "n", "first"), "key", rows).filter((F.col("rank") >= F.col("first")) & (F.shiftright(F.col("rank") - F.col("first"), bits) == 0))
+        counts = inside.groupBy("key", F.shiftright(F.col("rank") - F.col("first"), step).cast("int").alias("bin")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"))
+        bins = materialise(counts.withColumns({"cw": F.sum("w").over(by_bin), "cm": F.sum("m").over(by_bin)}), "mix-bins")
+        # The cut: the first bin that the gap doesn't fill, or the last one.
+        over = open_.join(bins, "key").withColumn("beyond", F.col("cw") > F.col("left"))
+        cut = over.groupBy("key").agg(
+            F.first("n").alias("n"), F.first("first").alias("first"), F.first("left").alias("left"),
+            F.coalesce(F.min(F.when(F.col("beyond"), F.struct("bin", "w", "m", "cw", "cm"))), F.max(F.struct("bin", "w", "m", "cw", "cm"))).alias("at"),
+        )
+        cut = materialise(cut, "mix-cut-bins")
+        deeper = (F.col("at.m") > BOUNDARY_DOCS) & F.lit(step > 0)
+        near = cut.filter(~deeper).join(bins, "key").filter(
+            ((F.col("bin") <= F.col("at.bin")) & (F.col("at.cm") - F.col("cm") + F.col("m") <= F.greatest(F.col("at.m"), F.lit(BOUNDARY_DOCS))))
+            | ((F.col("bin") > F.col("at.bin")) & (F.col("cm") - F.col("at.cm") <= BOUNDARY_DOCS))
+        )
+        start = F.col("first") + F.shiftleft(F.min("bin").cast("long"), step)
+        edge = near.groupBy("key", "n", "first", "left").agg(
+            start.alias("low"), (F.col("first") + F.shiftleft(F.max("bin").cast("long") + 1, step) - 1).alias("high"), (F.col("left") - F.min(F.col("cw") - F.col("w"))).alias("gap")
+        )
+        ends.append(materialise(edge.select("key", "n", "low", "high", "gap"), "mix-edges"))
+        again = cut.filter(deeper).select("key", "n", (F.col("first") + F.shiftleft(F.col("at.bin").cast("long"), step)).alias("first"), (F.col("left") - F.col("at.cw") + F.col("at.w")).alias("left"))
+        again = materialise(again, "mix-open")
+        for done in (open_, bins, cut):
+            release(done)
+        open_, bits = again, step
+    spark = numbers.sparkSession
+    if not ends:
+        return spark.createDataFrame([], "key string, low long"), spark.createDataFrame([], "key string, rank long")
+    edges = ends[0]
+    for more in ends[1:]:
+        edges = edges.unionByName(more)
+    edges = materialise(edges, "mix-boundaries")
+    around = _joined(units, edges, "key", rows).filter("rank between low and high").groupBy("key", "rank", "gap").agg(F.sum("w").alias("w"))
+    picked = materialise(around.groupBy("key").applyInPandas(_fill_group, "key string, rank long"), "mix-picked")
+    for done in ends:
+        release(done)
+    return edges.select("key", "low"), picked

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from logspark.llm import exactdedup, graph, langid, mixing, packing, quality, queries, simhash
+from logspark.llm import _common, exactdedup, graph, langid, mixing, packing, quality, queries, simhash
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -280,13 +280,128 @@ def test_flow_overlap():
     assert sum(sent.values()) == pytest.approx(600)
 
 
+def lap_cost(used, words):
+    """The k-th repetition of a word costs k."""
+    return sum(k * max(0, min(used - (k - 1) * words, words)) for k in (1, 2, 3))
+
+
+def cheapest(patterns, quotas):
+    """(most words sent, least cost of that), over all whole-numbered flows."""
+    names = list(patterns)
+    best = (0, 0)
+
+    def deals(p, need, room):
+        if not p:
+            yield {}
+            return
+        for n in range(min(room, need[p[0]]) + 1):
+            for rest in deals(p[1:], need, room - n):
+                yield {p[0]: n} | rest
+
+    def go(i, need, sent, cost):
+        nonlocal best
+        if i == len(names):
+            best = max(best, (sent, -cost))
+            return
+        p = names[i]
+        for deal in deals(p, need, 3 * patterns[p]):
+            n = sum(deal.values())
+            go(i + 1, {s: q - deal.get(s, 0) for s, q in need.items()}, sent + n, cost + lap_cost(n, patterns[p]))
+
+    go(0, quotas, 0, 0)
+    return best[0], -best[1]
+
+
+def test_flow_is_cheapest():
+    import random
+
+    rng = random.Random(6)
+    shapes = [[("a",), ("a", "b"), ("b",)], [("a", "b"), ("b", "c"), ("a", "c")], [("a",), ("a", "b", "c"), ("c",)]]
+    for k in range(45):
+        patterns = {p: rng.randint(0, 3) for p in shapes[k % 3]}
+        quotas = {s: rng.randint(0, 6) for s in "abc" if any(s in p for p in patterns)}
+        sent = mixing.flow(patterns, quotas)
+        used, got = Counter(), Counter()
+        for (p, s), n in sent.items():
+            assert s in p and n > 0
+            used[p] += n
+            got[s] += n
+        assert all(used[p] <= 3 * patterns[p] + 1e-6 for p in patterns) and all(got[s] <= quotas[s] + 1e-6 for s in quotas)
+        words, cost = cheapest(patterns, quotas)
+        assert sum(sent.values()) == pytest.approx(words) and sum(lap_cost(used[p], patterns[p]) for p in patterns) == pytest.approx(cost)
+
+
 def test_mix_overlapping_members(spark):
+    """The words that the patterns give add up to what the quotas of their sources ask for."""
     from pyspark.sql import functions as F
 
-    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', int(id % 7) + 1) as text", "case when id % 4 = 0 then 'a' else 'b' end as source")
-    members = F.when(F.col("doc_id") % 4 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
+    docs = spark.range(1200).selectExpr("id as doc_id", "repeat('w ', int(id % 7) + 1) as text", "case when id % 4 = 0 then 'a' when id % 4 < 3 then 'b' else 'c' end as source")
+    member = lambda i: ("a", "b") if i % 4 == 1 else ({0: "a", 2: "b", 3: "c"}[i % 4],)
+    members = F.when(F.col("doc_id") % 4 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array("source"))
     got = rows(mixing.mix(docs, members))
-    assert len(got) == 400 and 0 < sum(r["taken"] for r in got)
+    words, taken = Counter(), Counter()
+    for r in got:
+        words[member(r["doc_id"])] += r["size"]
+        taken[member(r["doc_id"])] += r["taken"]
+    sizes = Counter()
+    for p, n in words.items():
+        for s in p:
+            sizes[s] += n
+    target = mixing.targets(sizes)
+    want = Counter()
+    for (p, _), n in mixing.flow(dict(words), target).items():
+        want[p] += n
+    assert len(got) == 1200 and set(words) == {("a",), ("b",), ("a", "b"), ("c",)}
+    # Flows of one cost can differ in where they take: the cost is what is compared, and each pattern's laps.
+    assert abs(sum(lap_cost(taken[p], words[p]) - lap_cost(want[p], words[p]) for p in words)) <= 30
+    assert all(taken[p] <= 3 * words[p] for p in words)
+    assert abs(taken["c",] - target["c"]) <= 3
+    assert abs(taken["a",] + taken["b",] + taken["a", "b"] - target["a"] - target["b"]) <= 9
+    assert taken["a",] <= target["a"] + 3 and taken["b",] <= target["b"] + 3
+    assert {r["source_size"] for r in got if r["doc_id"] % 4 == 0} == {sizes["a"]}
+
+
+def test_mix_many_sources(spark, monkeypatch):
+    """More sources than are broadcast; one of them holds a third of the rows."""
+    monkeypatch.setattr(mixing, "HEAVY_KEYS", 64)
+    monkeypatch.setattr(_common, "HEAVY_KEYS", 64)
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', int(id % 5) + 1) as text", "case when id % 3 = 0 then 'hot' else concat('s', id div 2) end as source")
+    sizes, target = brute_targets(rows(docs))
+    got = rows(mixing.mix(docs))
+    assert len(sizes) > 10 * mixing.HEAVY_KEYS and len(got) == 3000
+    own = {r["doc_id"]: r["source"] for r in rows(docs)}
+    taken = Counter()
+    for r in got:
+        s = own[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6 and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 5 for s in sizes)
+
+
+@pytest.mark.parametrize("boundary", [3, 50])
+def test_cut_of_many_passes(spark, monkeypatch, boundary):
+    monkeypatch.setattr(mixing, "BOUNDARY_DOCS", boundary)
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', int(id % 5) + 1) as text", "case when id % 3 = 0 then null else 'b' end as source")
+    got = rows(mixing.mix(docs))
+    taken, target = Counter(), {}
+    for r in got:
+        s = None if r["doc_id"] % 3 == 0 else "b"
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target) and target
+
+
+def test_source_targets(spark):
+    import random
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 7, 300):
+        sizes = {f"s{k:04}": rng.choice([0, 1, rng.randrange(10), rng.randrange(10_000)]) for k in range(n)}
+        if n > 5:
+            sizes[None] = 50
+        df = spark.createDataFrame([(s, k) for s, k in sizes.items()], "source string, size long")
+        got = {r["source"]: r["target"] for r in rows(mixing.source_targets(df))}
+        assert got == pytest.approx(mixing.targets(sizes))
 
 
 def test_mixture_repeats(documents):
