@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents with certified bin counts.
 
 Pieces of at most one sequence's length are dealt into partitions of a fixed number of pieces, and each partition is
-packed by best fit decreasing. A partition is certified when its bin count equals a lower bound from dual feasible
-functions. Partitions give the documents of their loosest sequences, the more the wider their gap, to a common pool,
+packed by best fit decreasing. A lower bound from dual feasible functions certifies each partition's bin count; both are
+kept with its pieces, and ``certificate`` compares the whole packing with the bound of all pieces. Partitions give the documents of their loosest sequences, the more the wider their gap, to a common pool,
 which is dealt anew and packed again; what the pool leaves open goes on to the next round, until one partition holds
 the pool.
 """
@@ -58,9 +58,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of three families of dual feasible functions: whole size, threshold (one for each length) and rounding."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` from the number of pieces of each length."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     total, words = np.cumsum(count), np.cumsum(count * size)
@@ -119,7 +121,7 @@ def _pack(pdf: pd.DataFrame, capacity: int, tag: int) -> pd.DataFrame:
     group = int(pdf["g"].iloc[0])
     return pd.DataFrame({
         "row": pdf["row"], "length": lengths, "sequence_id": (tag << 56) + (group << 24) + bins, "offset": offsets,
-        "given": give[bins], "gap": gap,
+        "given": give[bins], "bins": used, "bound": used - gap,
     })
 
 
@@ -128,20 +130,26 @@ def _packer(capacity: int, tag: int):
 
 
 def assign(lengths: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """(row, length) in; (row, sequence_id, offset) out, one row per piece."""
+    """(row, length) in; (row, sequence_id, offset, partition_bins, partition_bound) out, one row per piece.
+
+    The last two are of the partition that packed the piece: its sequences, before it gave any away, and their lower
+    bound. A partition with as many sequences as its bound is packed best. Rounds end when one partition holds the pool,
+    or after ``rounds``: each leaves some sequences of a partition open, whatever the partition's size.
+    """
     pool, done = lengths, []
+    own = ["row", "sequence_id", "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound")]
     for tag in range(rounds):
         n = pool.count()
         if tag and not n:
             break
         groups = max(1, -(-n // (group_pieces << tag)))  # the pool is smaller than what it came from: its partitions can be larger
         dealt = pool.withColumn("g", F.pmod(F.xxhash64(F.lit(tag), "row"), F.lit(groups)))
-        packed = dealt.groupBy("g").applyInPandas(_packer(capacity, tag), "row long, length long, sequence_id long, offset long, given boolean, gap long")
+        packed = dealt.groupBy("g").applyInPandas(_packer(capacity, tag), "row long, length long, sequence_id long, offset long, given boolean, bins long, bound long")
         packed = materialise(packed, "packed")
         if groups == 1 or tag == rounds - 1:  # one partition has nobody to exchange with
-            done.append(packed.select("row", "sequence_id", "offset"))
+            done.append(packed.select(*own))
             break
-        done.append(packed.filter("not given").select("row", "sequence_id", "offset"))
+        done.append(packed.filter("not given").select(*own))
         pool = packed.filter("given").select("row", "length")
     out = done[0]
     for more in done[1:]:
@@ -149,8 +157,16 @@ def assign(lengths: DataFrame, capacity: int = CAPACITY, group_pieces: int = GRO
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences of the packing, lower bound for any packing of its pieces), from counts by length."""
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a length
+        count[r["length"]] = r["n"]
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], bound_of_counts(count, capacity)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut, into pieces of that length and a
     last shorter one. Null texts count as empty (one token). Repeated rows are packed each for itself; null ids stay
@@ -158,4 +174,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """
     parts = materialise(pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
     places = assign(parts.select("row", "length"), capacity, group_pieces)
-    return parts.join(places, "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return parts.join(places, "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition_bins", "partition_bound")

@@ -29,12 +29,13 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
-        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+        normal = [{k: v for k, v in n.items() if v is not None} for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+        blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         given = split.get("pattern", {}).get("Regex", "")
         end = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         #: Only a tokenizer of exactly this form is split here; any other encodes whole texts.
-        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and given.endswith(end) and split.get("invert") and all(
+        self.fast = normal == [{"type": "NFC"}, blanks, {"type": "Lowercase"}] and given.endswith(end) and split.get("invert") and all(
             re.fullmatch(r"'[a-z]+", x) for x in given.removesuffix(end).strip("|").split("|")
         )
         self.find = re.compile(given.removesuffix(end) + rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+").findall
