@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from ._common import materialise, shared_dir
+from ._common import materialise, release, shared_dir
 from .tokenize import load
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -37,12 +37,19 @@ class Rollup:
         root = self._at(self.path)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.getPath().getName().startswith("batch-")) if self._fs.exists(root) else []
 
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch is there, by its own name or among the ids of a fold."""
+        if self._fs.exists(self._at(f"{self.path}/batch-{batch_id.encode().hex()}")):
+            return True
+        folds = [f"{self.path}/{n}/ids" for n in self._names() if n.startswith("batch-fold-")]
+        return bool(folds) and not self.spark.read.text(folds).filter(F.col("value") == F.lit(batch_id.encode().hex())).isEmpty()
+
     def batches(self) -> set[str]:
-        """Ids of all committed batches."""
+        """Ids of all committed batches; for small rollups and tests, as all reach the driver."""
         found = set()
         for name in self._names():
             if name.startswith("batch-fold-"):
-                found |= {r["id"] for r in self.spark.read.text(f"{self.path}/{name}/ids").select(F.col("value").alias("id")).collect()}
+                found |= {bytes.fromhex(r["value"]).decode() for r in self.spark.read.text(f"{self.path}/{name}/ids").collect()}
             else:
                 found.add(bytes.fromhex(name.removeprefix("batch-")).decode())
         return found
@@ -53,7 +60,7 @@ class Rollup:
         sign 1: an insert, -1: a delete. A revised count is the delete of the old one and the insert of the new one.
         Null keys are keys; null counts are 0.
         """
-        if batch_id in self.batches():
+        if self.committed(batch_id):
             return False
         sums = changes.groupBy(*KEYS).agg(
             F.sum(F.col("sign").cast("long")).alias("documents"), F.sum(F.col("sign") * F.coalesce(F.col("tokens").cast("long"), F.lit(0))).alias("tokens")
@@ -61,14 +68,17 @@ class Rollup:
         self._publish(sums, f"batch-{batch_id.encode().hex()}")
         return True
 
-    def _publish(self, sums: DataFrame, name: str, ids: list[str] | None = None) -> None:
+    def _publish(self, sums: DataFrame, name: str, ids: DataFrame | None = None) -> None:
         """Write aside, then rename: a batch is there whole or not at all."""
         aside = f"{self.path}/tmp-{uuid.uuid4().hex}"
         sums.select(*[F.col(c) for c in KEYS + SUMS]).write.parquet(f"{aside}/sums")
         if ids is not None:
-            self.spark.createDataFrame([(i,) for i in ids], "value string").coalesce(1).write.text(f"{aside}/ids")
-        if not self._fs.rename(self._at(aside), self._at(f"{self.path}/{name}")):
-            raise OSError(f"could not publish {name}")
+            ids.write.text(f"{aside}/ids")
+        to = self._at(f"{self.path}/{name}")
+        # A rename onto a folder that is there would move into it.
+        if self._fs.exists(to) or not self._fs.rename(self._at(aside), to):
+            self._fs.delete(self._at(aside), True)
+            raise OSError(f"could not publish {name}: another writer was there first")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens; keys whose sums are all zero are gone."""
@@ -82,16 +92,25 @@ class Rollup:
     def compact(self) -> None:
         """Fold all batches into one; their ids stay known. A fold that a lost driver left half done is ended first."""
         if not self._fs.exists(self._at(f"{self.path}/fold")):
-            names, ids = self._names(), sorted(self.batches())
+            names = self._names()
             if len(names) < 2:
                 return
+            single = [(n.removeprefix("batch-"),) for n in names if not n.startswith("batch-fold-")]  # as many as the folders just listed
+            ids = self.spark.createDataFrame(single, "value string")
+            if folds := [f"{self.path}/{n}/ids" for n in names if n.startswith("batch-fold-")]:
+                ids = ids.unionAll(self.spark.read.text(folds))
             self._publish(self.totals(), "fold", ids)
-        folded = {f"batch-{r['value'].encode().hex()}" for r in self.spark.read.text(f"{self.path}/fold/ids").collect()}
+        known = self.spark.read.text(f"{self.path}/fold/ids")
+        single = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in self._names() if not n.startswith("batch-fold-")], "value string")
+        folded = {r["value"] for r in single.join(known, "value", "left_semi").collect()}
         for n in self._names():
-            if n in folded or n.startswith("batch-fold-"):
+            if n.removeprefix("batch-") in folded or n.startswith("batch-fold-"):
                 self._fs.delete(self._at(f"{self.path}/{n}"), True)
         self._fs.rename(self._at(f"{self.path}/fold"), self._at(f"{self.path}/batch-fold-{uuid.uuid4().hex}"))
 
+    def delete(self) -> None:
+        self._fs.delete(self._at(self.path), True)
+
 
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     ids = load(tokenizer).ids
@@ -126,4 +145,7 @@ def maintained(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
     for batch_id, changes in (("load", load_), ("revise", revise), ("retract", retract), ("load", load_)):
         rollup.commit(batch_id, changes)
-    return rollup.totals()
+    totals = materialise(rollup.totals(), "token-totals")
+    rollup.delete()
+    release(rows)
+    return totals
