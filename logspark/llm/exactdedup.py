@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, materialise, numbered, only, partitions, renamed
+from ._common import let, materialise, numbered, only, partitions, release, renamed
 
 #: Bytes of a block; a constant of the method.
 BLOCK_BYTES = 8192
@@ -54,8 +54,9 @@ def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, text_sha256, level, name, copies (repeated rows)."""
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, made: list[DataFrame] | None = None) -> DataFrame:
+    """One row per distinct (doc_id, text): doc_id, text_sha256, level, name, copies (repeated rows). ``made`` gets the tables that the result reads."""
+    made = [] if made is None else made
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     base = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -81,6 +82,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = materialise(
         sorted_blocks.mapInArrow(_name_sorted, f"doc_id {id_type}, text_sha256 string, n int, pos int, name long, rep binary"), "block-names"
     )
+    made.append(named)
     # Merge what salting split: a hot block has one name per salt, 16 * parts names in all at most.
     reps = named.filter(F.col("rep").isNotNull()).select("rep", "name")
     merged = reps.join(reps.groupBy("rep").agg(F.min("name").alias("canon")), "rep").select("name", "canon")
@@ -102,6 +104,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         pairs = materialise(pairs, "block-pairs")
         names = materialise(pairs.select("a", "b").distinct().withColumn("name", F.monotonically_increasing_id()), "pair-names")
+        made += [pairs, names]
         rows = pairs.join(names, ["a", "b"]).select(*key, ((F.col("n") + 1) / 2).cast("int").alias("n"), "pos", "name", "copies")
         done.append(rows.filter("n = 1").select(*key, F.lit(level).alias("level"), "name", "copies"))
         rows = rows.filter("n > 1")
@@ -111,6 +114,20 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.groupBy(*key, "level", "name").agg(F.sum("copies").cast("long").alias("copies"))
 
 
+#: A row that is repeated more often is first dealt out in runs of so many copies.
+RUN = 65_536
+
+
+def _repeated(rows: DataFrame, most: int) -> DataFrame:
+    """Each row ``copies`` times, with its number in ``nth``; no array is longer than RUN or a RUN-th of the copies."""
+    if most <= RUN:
+        return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))
+    dealt = rows.withColumn("run", F.explode(runs)).repartition(partitions(rows.sparkSession))
+    last = F.least(F.col("copies"), (F.col("run") + 1) * RUN)
+    return dealt.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN + 1, last))).drop("run")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, level, name.
 
@@ -118,10 +135,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all carry the same keep_id. Null texts count as empty, and empty texts are equal. A null id is kept only if its
     whole group has null ids. An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
-    ids = materialise(identities(docs, id_col, text_col, block_bytes), "text-names")
+    made: list[DataFrame] = []
+    ids = materialise(identities(docs, id_col, text_col, block_bytes, made), "text-names")
+    for done in made:  # the names of blocks and pairs are in the table just written
+        release(done)
     # Written, so that the join below shares no shuffle with the aggregation and Spark can split the tasks of a large group.
     groups = materialise(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "text-groups")
-    rows = ids.join(groups, ["level", "name"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = _repeated(ids.join(groups, ["level", "name"]), ids.agg(F.max("copies")).first()[0] or 0)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "level", "name")
 
