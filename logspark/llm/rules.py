@@ -1,8 +1,9 @@
 """Quality rules with host verdicts, in DataFrame expressions only.
 
-Each document is measured against fixed rules; failures are aggregated by host (here: the source), failure rates are
-shrunk towards an empirical beta prior fitted to all hosts by moments, and the hosts' verdicts are joined back. The
-features are computed once and written, the host table is an aggregate of them.
+Each document is measured against fixed rules: too few words, repeated passages, many symbols, repeated lines, words of
+an unlikely length. Failures of any rule are aggregated by host (here: the source), failure rates are shrunk towards an
+empirical beta prior fitted to all hosts by moments, and the hosts' verdicts are joined back. The features are computed
+once and written, the host table is an aggregate of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from ._common import BLANKS, let, materialise
 
 #: A host whose shrunken failure rate exceeds this loses all its documents.
 WORST_RATE = 0.5
+#: A document counts against its host if it has more symbols than this share of its words, more repeated lines than this
+#: share of its words, or words whose mean length lies outside of these limits.
+MOST_SYMBOLS, MOST_DUP_LINES, WORD_CHARS = 0.1, 0.05, (2, 15)
 #: Host tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 WINDOW = 5
@@ -53,7 +57,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed (any rule) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), words_of(text).alias("words"))
     word_lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
@@ -64,7 +68,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         let(word_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    n, low, high = F.col("n_words"), *WORD_CHARS
+    odd = (F.col("n_symbols") > MOST_SYMBOLS * n) | (F.col("n_dup_lines") > MOST_DUP_LINES * n) | (F.col("word_chars") < low * n) | (F.col("word_chars") > high * n)
+    return out.withColumn("rule_failed", F.col("base_failed") | odd)
 
 
 def prior(hosts: DataFrame) -> tuple[float, float]:
@@ -88,12 +95,12 @@ def prior(hosts: DataFrame) -> tuple[float, float]:
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", worst: float = WORST_RATE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate.
 
-    base_failed: fewer than ten words, or over a fifth of the words in repeated five-word windows. kept: not failed,
-    and the host's shrunken failure rate is at most ``worst``. Null texts count as empty (failed); a null host is a
+    base_failed: fewer than ten words, or over a fifth of the words in repeated five-word windows. kept: not base_failed,
+    and the host's shrunken rate of documents that fail any rule is at most ``worst``. Null texts count as empty (failed); a null host is a
     host of its own. Repeated rows stay and count each. An empty table gives an empty result. Other columns are ignored.
     """
     rows = materialise(features(docs, id_col, text_col, host_col), "rule-features")
-    failed = F.sum(F.col("base_failed").cast("long")).alias("failed")
+    failed = F.sum(F.col("rule_failed").cast("long")).alias("failed")
     hosts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), failed), "rule-hosts")
     a, b = prior(hosts)
     key = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("h"), F.col(c).cast("string")))
