@@ -70,7 +70,7 @@ ORACLES = {
             ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
         fit AS (SELECT page_id, rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS nth FROM p, rules
                 WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-        bad(name) AS (SELECT a || '.example.' || b FROM (VALUES ('spam-farm'), ('cheap-pills'), ('free-bets'), ('adult-x')) x(a), (VALUES ('com'), ('net'), ('org')) y(b))
+        bad(name) AS (SELECT a || '.example.' || b FROM (VALUES ('spam-farm'), ('cheap-pills'), ('free-bets'), ('adult-x'), ('casino-win'), ('ads-track')) x(a), (VALUES ('com'), ('net'), ('org')) y(b))
         SELECT p.page_id, p.host, p.path, f.rule,
                coalesce(f.action, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE p.host = name OR ends_with(p.host, '.' || name)) THEN 'block' ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN fit f ON p.page_id = f.page_id AND f.nth = 1
@@ -87,8 +87,9 @@ ORACLES = {
                      (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
                       - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
                      coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
-        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-        h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM b GROUP BY source),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                     n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.05::DOUBLE * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS odd FROM f),
+        h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR odd)::INT)::DOUBLE AS failed FROM b GROUP BY source),
         m AS (SELECT sum(n) / count(*) AS size, greatest(0, sum(failed * failed / n) / sum(n) - (sum(failed) / sum(n)) ** 2) AS spread,
                      least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS mean FROM h),
         p AS (SELECT mean, least(greatest(CASE WHEN spread > mean * (1 - mean) / size THEN mean * (1 - mean) / (spread - mean * (1 - mean) / size) - 1 ELSE size END, 2), size + 2) AS weight FROM m),

@@ -56,6 +56,14 @@ def test_dedup_hot_block(spark):
     assert all(r["group_size"] == 1000 for r in got if r["doc_id"] % 3 == 0)
 
 
+def test_many_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "RUN", 64)
+    docs = spark.range(1000).selectExpr("case when id < 900 then 7 else id end as doc_id", "case when id < 900 then 'same' else 'other' end as text")
+    got = rows(exactdedup.exact_dedup(docs))
+    assert len(got) == 1000 and sum(r["kept"] for r in got) == 2
+    assert {(r["keep_id"], r["group_size"]) for r in got} == {(7, 900), (999, 100)}
+
+
 def test_keep_distinct(odd):
     kept = rows(exactdedup.keep_distinct(odd))
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:60] + str(len(r["text"] or ""))) for r in kept) == sorted(
@@ -190,6 +198,13 @@ def test_packing(request, name):
     total = sum(r["length"] for r in got)
     if name == "documents":
         assert len(bins) <= 1.02 * math.ceil(total / 4096) + 1
+    # Certificates: no packing of these pieces has fewer sequences than the bound, nor has any partition.
+    used, bound = packing.certificate(packing.pack(docs, queries.TOKENIZER, group_pieces=40))
+    import numpy as np
+
+    assert used == len(bins) and bound == packing.lower_bound(np.array([r["length"] for r in got], dtype=np.int64), 4096)
+    assert bound <= used <= 1.02 * bound + 1
+    assert all(r["partition_bound"] <= r["partition_bins"] for r in got)
 
 
 def test_tokens_equal_the_tokenizer():

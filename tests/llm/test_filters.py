@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logspark.llm import pii, queries, rules, tokencounts, urlfilter
 
@@ -49,6 +50,13 @@ def test_url_filter(spark, sf, limit):
     )
 
 
+def test_long_hosts_and_a_listed_table(spark):
+    urls = ["http://" + "a." * 150_000 + "bad.org/x", "http://" + "." * 200_000, "http://" + "x" * 300_000 + ".com/en/", "http://a.b.c.d.e.f.g/", "http://f.g/", "http://bad.org.evil/"]
+    hosts = spark.createDataFrame([("bad.org",), ("c.d.e.f.g",), (None,), ("",), ("bad.org",)], "host string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), blocked_hosts=hosts))}
+    assert got == {0: (None, "block"), 1: (None, "allow"), 2: ("com/en/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow")}
+
+
 def test_url_filter_empty(spark):
     assert rows(urlfilter.judge(spark.createDataFrame([], "page_id long, url string"))) == []
 
@@ -281,6 +289,33 @@ def test_bad_host_loses_its_documents(spark):
     assert any(not r["base_failed"] and not r["kept"] for r in got)
 
 
+@pytest.mark.parametrize("name", ["symbols", "lines", "short", "long"])
+def test_every_rule_counts_against_a_host(spark, name):
+    good = [f"word{i}" for i in range(40)]
+    bad = {"symbols": " ".join(w + "###" for w in good), "lines": "\n".join(["same"] * 4 + good), "short": " ".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN"), "long": " ".join(w * 5 for w in good)}[name]
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('h', id % 3) as source").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit(bad)).otherwise(" ".join(good)))
+    got = rows(rules.apply_rules(docs))
+    assert not any(r["base_failed"] for r in got)
+    assert all(r["kept"] == (r["doc_id"] % 3 > 0) for r in got)
+
+
+def test_rates_are_shrunk_to_the_prior(spark):
+    """Against the formulas written out: a host of few documents keeps near the mean of all."""
+    good, short = " ".join(f"word{i}" for i in range(30)), "too short"
+    plan = {"a": (200, 20), "b": (100, 40), "c": (2, 2), "d": (50, 0), None: (3, 1)}
+    docs = [(len(plan) * i, short if i < bad else good, h) for h, (n, bad) in plan.items() for i in range(n)]
+    got = {}
+    for r in rows(rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).join(spark.createDataFrame(docs, "doc_id long, text string, source string").select("doc_id", "source").distinct(), "doc_id")):
+        got.setdefault(round(r["host_rate"], 9), 0)
+    n, bad = sum(v[0] for v in plan.values()), sum(v[1] for v in plan.values())
+    mean = bad / n
+    spread = sum(b * b / m for m, b in plan.values()) / n - mean**2
+    size = n / len(plan)
+    noise = mean * (1 - mean) / size
+    weight = min(max(mean * (1 - mean) / (spread - noise) - 1 if spread > noise else size, 2), size + 2)
+    assert set(got) == {round((b + mean * weight) / (m + weight), 9) for m, b in plan.values()}
+
+
 # ---- token totals
 
 
@@ -316,7 +351,10 @@ def test_rollup_commits(spark, tmp_path):
     assert {tuple(r.values()) for r in rows(rollup.totals())} == want
     rollup.compact()
     assert {tuple(r.values()) for r in rows(rollup.totals())} == want and rollup.batches() == {"a/1", "b"}
-    assert not rollup.commit("b", changes(("s", "en", "v", 1, 1)))
+    assert not rollup.commit("b", changes(("s", "en", "v", 1, 1))) and rollup.committed("a/1") and not rollup.committed("c")
+    with pytest.raises(OSError):  # another writer's folder is never moved into
+        rollup._publish(rollup.totals(), rollup._names()[0])
+    assert {tuple(r.values()) for r in rows(rollup.totals())} == want
     rollup.commit("c", changes(("s", "en", "v", -1, 12)))
     rollup.compact()
     assert {tuple(r.values()) for r in rows(rollup.totals())} == {("s", None, "v", 1, 0)} and rollup.batches() == {"a/1", "b", "c"}
