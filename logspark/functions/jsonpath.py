@@ -1,7 +1,8 @@
 """JSON values by path, as exact text.
 
-Spark's own extractor rewrites numbers and objects, so values are cut from the document by a scanner: strings are
-decoded, everything else keeps its text. The scanner leans on the standard library's C routines.
+Spark's own extractor rewrites numbers and objects, so values are cut from the document: strings are decoded, everything
+else keeps its text. A line that is one object of a plain shape (no escapes, containers at most one level deep) is cut
+by patterns in the JVM; any other goes to a scanner that leans on the standard library's C routines.
 """
 
 from __future__ import annotations
@@ -141,6 +142,33 @@ def json_line(col: Column, names: list[str]) -> Column:
 
     @F.pandas_udf("array<string>")
     def extract(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda t: json_fields(t, names))
+        return pd.Series([None if t is None else json_fields(t, names) for t in lines], dtype=object)
 
     return extract(col)
+
+
+_BLANK = r"[ \t\n\r]*+"
+_STRING = r'"[^"\\\x00-\x1f]*+"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null)"
+_PAIR = rf"{_BLANK}{_STRING}{_BLANK}:{_BLANK}{_SCALAR}{_BLANK}"
+_ITEM = rf"{_BLANK}{_SCALAR}{_BLANK}"
+_FLAT = rf"(?:{_SCALAR}|\{{(?:{_BLANK}|{_PAIR}(?:,{_PAIR})*+)\}}|\[(?:{_BLANK}|{_ITEM}(?:,{_ITEM})*+)\])"
+_MEMBER = rf"{_BLANK}{_STRING}{_BLANK}:{_BLANK}{_FLAT}{_BLANK}"
+#: Longer lines go to the scanner: the search for the last of repeated keys recurses once a member.
+_LONGEST = 8192
+
+
+def simple_line(line: Column) -> Column:
+    """Whether a line is one well-formed object that ``simple_field`` can read."""
+    shape = rf"\A{_BLANK}\{{(?:{_BLANK}|{_MEMBER}(?:,{_MEMBER})*+)\}}{_BLANK}\z"
+    return F.coalesce((F.length(line) <= _LONGEST) & line.rlike(shape), F.lit(False))
+
+
+def simple_field(line: Column, name: str) -> Column:
+    """The root value of a simple line by name, the last of repeated keys: a string's content, else the text; null for null or none."""
+    if re.search(r'["\\\x00-\x1f]', name):
+        return F.lit(None).cast("string")  # such a key needs an escape, which no simple line has
+    key = "".join(re.escape(c) if c.isascii() else c for c in name)
+    found = F.regexp_extract(line, rf'\A{_BLANK}\{{(?:{_MEMBER},)*{_BLANK}"{key}"{_BLANK}:{_BLANK}({_FLAT})', 1)
+    inner = F.substring(found, F.lit(2), F.length(found) - 2)
+    return F.when(F.startswith(found, F.lit('"')), inner).when((found != "") & (found != "null"), found)

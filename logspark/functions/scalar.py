@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +78,44 @@ def lower_ascii(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def substr_bytes(x: Column, start: int, size: int | None) -> Column:
+    """``size`` bytes from byte ``start`` on, from 0; a start beyond the end is an error."""
+    octets = x.cast("binary")
+    part = F.substring(octets, F.lit(start + 1), F.lit(size) if size is not None else F.octet_length(x)).cast("string")
+    beyond = F.raise_error(F.concat(F.lit(f"SUBSTR from {start} is beyond the end of a text of length "), F.octet_length(x).cast("string")))
+    return F.when(F.octet_length(x) < start, beyond).otherwise(part) if start else part
+
+
+# What has one longest match wherever it begins: no alternative, no group, at most one repeat, and that one greedy.
+_ATOM = r"(?:\\[^bB]|\[\^?\]?(?:\\.|[^\]\\])*\]|[^\\\[\](){}|?*+^$])"
+_ONE_REPEAT = re.compile(rf"{_ATOM}*(?:{_ATOM}(?:[*+?]|\{{[0-9]+(?:,[0-9]*)?\}})(?![?+*]){_ATOM}*)?")
+
+
+def leftmost_longest(x: Column, pattern: str) -> Column:
+    """The first match, of those the longest; null without one.
+
+    Java's patterns take the first branch that matches. Where that can differ, the match is found by a matcher with POSIX
+    rules in batches on the Python side, if it is installed; else by Java's rules.
+    """
+    if _ONE_REPEAT.fullmatch(pattern):
+        return F.regexp_substr(x, F.lit(pattern))
+    try:
+        import regex
+
+        regex.compile(pattern, regex.POSIX)
+    except Exception:  # not installed, or a pattern that only Java knows
+        return F.regexp_substr(x, F.lit(pattern))
+
+    @F.pandas_udf("string")
+    def longest(texts: pd.Series) -> pd.Series:
+        import regex
+
+        search = regex.compile(pattern, regex.POSIX | regex.ASCII).search
+        return pd.Series([m[0] if t is not None and (m := search(t)) else None for t in texts], dtype=object)
+
+    return longest(x)
+
+
 def call(e: Expr, args: list[Column]) -> Column:
     """A bound scalar function over its argument columns."""
     data = e.data if isinstance(e.data, tuple) else (e.data,)
@@ -92,11 +131,11 @@ def call(e: Expr, args: list[Column]) -> Column:
     if name == "splitpart":
         return F.get(F.split(x, re.escape(data[1]) if data[1] != "\n" else "\n", -1), F.lit(data[2]))
     if name == "substr":
-        return F.substring(x, F.lit(data[1] + 1), F.lit(data[2]) if len(data) > 2 else F.length(x))
+        return substr_bytes(x, data[1], data[2] if len(data) > 2 else None)
     if name == "coalesce":
         return F.coalesce(*[c for c, a in zip(args, e.args, strict=True) if a.type != NULL] or args)
     if name == "rsubstr":
-        return F.regexp_substr(x, F.lit(data[1]))
+        return leftmost_longest(x, data[1])
     if name == "json_value":
         return json_value(x, data[1])
     if name == "parse_timestamp":

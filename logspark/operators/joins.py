@@ -17,7 +17,7 @@ def _keyed(match: DataFrame, column: str) -> DataFrame:
 def semi_join(df: DataFrame, key: Column, match: DataFrame, column: str) -> DataFrame:
     """Rows whose key is in the match; null equals null."""
     name = f"__k{next(_fresh)}"
-    right = _keyed(match, column)
+    right = _keyed(match, column).distinct()  # combined before the shuffle: a small set of keys then turns into a broadcast
     keyed = df.withColumn(name, key)
     return keyed.join(right, keyed[name].eqNullSafe(right[right.columns[0]]), "left_semi").drop(name)
 
@@ -42,7 +42,12 @@ def mark_join(df: DataFrame, key: Column, match: DataFrame, column: str) -> tupl
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
-    """Every left row with each match, or once with nulls; a null key never matches."""
+    """Every left row with each match, or once with nulls; a null key never matches.
+
+    Null keys of the left side meet in one partition, which adaptive execution splits like any skewed one of an outer join's
+    left side; those of the right side are dropped before the shuffle.
+    """
     a, b = f"__k{next(_fresh)}", f"__k{next(_fresh)}"
     lk, rk = left.withColumn(a, left_key), right.withColumn(b, right_key)
+    rk = rk.filter(rk[b].isNotNull())
     return lk.join(rk, lk[a] == rk[b], "left").drop(a, b)

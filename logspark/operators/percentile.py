@@ -1,7 +1,8 @@
 """Exact percentiles without gathering a group's values.
 
 Equal values are counted first, which combines before the shuffle; a window then runs through the distinct values of a
-group in order. The window sorts and spills like any other sort, so a group of any size only takes time.
+group in order. The window sorts and spills like any other sort, so a group of any size only takes time. The one group of
+a program without keys is parted at approximate quantiles of its numbers, and windows run through the parts.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..bind.types import FLOATING
+from ..bind.types import FLOATING, INTEGER
 
 ONE = "__one"
 
@@ -31,9 +32,12 @@ def percentiles(df: DataFrame, keys: list[str], value: Column, type_: str, share
     """(keys, name): ``[a,b]``, for each share p of a group's n values the one at index min(n - 1, floor(n * p)) in order, in 32-bit arithmetic; nulls don't count."""
     by = [F.col(f"`{k}`") for k in keys]
     counts = df.select(*by, value.alias("__v")).filter("__v is not null").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("__end", F.sum("__c").over(upto)).withColumn("__n", F.sum("__c").over(group))
+    if keys == [ONE] and type_ in (INTEGER, FLOATING):
+        placed = _parted(counts)
+    else:
+        group = Window.partitionBy(*by)
+        upto = group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("__end", F.sum("__c").over(upto)).withColumn("__n", F.sum("__c").over(group))
 
     def pick(p: float) -> Column:
         at = F.least(F.col("__n") - 1, F.floor(F.col("__n").cast("float") * F.lit(p).cast("float")))
@@ -44,6 +48,23 @@ def percentiles(df: DataFrame, keys: list[str], value: Column, type_: str, share
     return picked.select(*by, F.concat(F.lit("["), parts, F.lit("]")).alias(name))
 
 
+#: Parts of a single group; their edges only decide which task counts a value.
+PARTS = 64
+
+
+def _parted(counts: DataFrame) -> DataFrame:
+    """``counts`` of one group with __end and __n: sums of the parts before a value's own (at most PARTS rows), and a window in each part."""
+    edges = counts.agg(F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], F.lit(1000))).first()[0] or []
+    below = sum((F.when(F.col("__v") > F.lit(e), 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
+    dealt = counts.withColumn("__part", below)
+    sums = dealt.groupBy("__part").agg(F.sum("__c").alias("__c"))
+    every = Window.partitionBy(F.lit(1))
+    before = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(every).alias("__n"))
+    own = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("__upto", F.sum("__c").over(own)).join(F.broadcast(sums), "__part").withColumn("__end", F.col("__before") + F.col("__upto"))
+
+
 def attach(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     """``more`` beside ``df`` by its keys; null keys equal each other."""
     other = more.withColumnsRenamed({k: f"{k}__r" for k in keys})

@@ -88,7 +88,7 @@ class Lowering:
         fmt = None
         if any(k != formats.LINE for k in names) or (ranged and not rel.time_format):
             if id(rel) not in self.detected:
-                self.detected[id(rel)] = files.detect(lines)
+                self.detected[id(rel)] = files.detect(lines, path)
             fmt = self.detected[id(rel)]
         if ranged:
             lines = files.in_range(lines, path, fmt, rel.time_format, start, end, rel.seconds)

@@ -72,8 +72,12 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)",
     ),
     "anti_not_in": (
-        "SELECT c_custkey FROM $customer WHERE NOT c_custkey IN (SELECT o_custkey FROM $orders)",
-        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey IS NOT DISTINCT FROM c_custkey)",
+        "SELECT c_custkey, c_name FROM $customer WHERE NOT c_custkey IN (SELECT o_custkey FROM $orders WHERE o_totalprice > 250000.0)",
+        "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey IS NOT DISTINCT FROM c_custkey AND o_totalprice > 250000.0)",
+    ),
+    "anti_null_safe": (
+        "SELECT l_orderkey, l_linenumber FROM $lineitem WHERE NOT Int(l_returnflag + String(l_linenumber)) IN (SELECT Int(anon) AS y FROM ('7', 'none')) OR l_linenumber > 6",
+        "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber > 6",
     ),
     "mark_in_select": (
         "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM $orders WHERE o_orderstatus = 'F') AS has, c_nationkey IN (1, 2, 3) OR NOT c_mktsegment IN ('BUILDING') AS other FROM $customer",
@@ -116,9 +120,33 @@ PROGRAMS: dict[str, tuple[str, str]] = {
     ),
     "sort_full": (
         "SELECT o_orderkey, o_orderpriority FROM $orders ORDER BY o_orderpriority, o_orderkey",
-        "SELECT o_orderkey, o_orderpriority FROM orders",
+        "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey",
+    ),
+    "limit_rows": (
+        "SELECT COUNT(*) AS n FROM (SELECT l_orderkey FROM $lineitem LIMIT 1000) UNION ALL SELECT COUNT(*) AS n FROM (SELECT r_name FROM $region LIMIT 1000)",
+        "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 1000) UNION ALL SELECT count(*) AS n FROM (SELECT r_name FROM region LIMIT 1000)",
+    ),
+    "count_names": (
+        "SELECT o_orderstatus, COUNT_ALL() AS a, COUNT_NONNULL(Int(o_orderpriority)) AS b, COUNT_NONNULL(o_custkey) AS c FROM $orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, count(*) AS a, 0::BIGINT AS b, count(o_custkey) AS c FROM orders GROUP BY 1",
+    ),
+    "sum_of_strings": (
+        "SELECT region, SUM(n_name) AS names FROM (SELECT n_regionkey AS region, n_name FROM $nation ORDER BY n_nationkey) GROUP BY region",
+        "SELECT n_regionkey AS region, string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1",
+    ),
+    "null_cast": (
+        "SELECT r_regionkey, Null(r_name) = null AS gone, COALESCE(Null(r_name), r_name) AS name FROM $region",
+        "SELECT r_regionkey, TRUE AS gone, r_name AS name FROM region",
+    ),
+    "percentile_global": (
+        "SELECT PERCENTILE(o_custkey, 0.0, 0.25, 0.5, 0.99, 1.0) AS p, PERCENTILE(o_orderstatus, 0.5) AS s, COUNT(*) AS n FROM $orders",
+        """SELECT '[' || a[1] || ',' || a[least(n - 1, floor(n * 0.25::FLOAT))::INT + 1] || ',' || a[least(n - 1, floor(n * 0.5::FLOAT))::INT + 1] || ',' || a[least(n - 1, floor(n * 0.99::FLOAT))::INT + 1] || ',' || a[n] || ']' AS p,
+                  '[' || b[least(n - 1, floor(n * 0.5))::INT + 1] || ']' AS s, n FROM (SELECT count(*) AS n, list_sort(list(o_custkey)) AS a, list_sort(list(o_orderstatus)) AS b FROM orders)""",
+    ),
+    "longest_match": (
+        "SELECT p_partkey, RSUBSTR(p_type, 'S|ST|STA|STANDARD|E[A-Z]*') AS m, RSUBSTR(p_brand, 'B(r|ra)(nd|and)?') AS b FROM $part",
+        """SELECT p_partkey, nullif(regexp_extract(p_type, 'STANDARD|STA|ST|S|E[A-Z]*'), '') AS m, nullif(regexp_extract(p_brand, 'Brand|Bra|Br'), '') AS b FROM part""",
     ),
-    "limit_rows": ("SELECT COUNT(*) AS n FROM (SELECT l_orderkey FROM $lineitem LIMIT 1000)", "SELECT 1000 AS n"),
     "union_all": (
         "SELECT l_orderkey, l_shipdate FROM $lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_shipdate FROM $lineitem WHERE l_linenumber = 1",
         "SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_linenumber = 1",
@@ -238,14 +266,81 @@ RENDERED: dict[str, tuple[Callable, str, str]] = {
 }
 
 
+#: Files as a command writes them, whole or with a last line that nothing ends; (lines of the file, program, DuckDB SQL).
+SINGLE: dict[str, tuple[str, bool, str, str]] = {
+    "file_unterminated": ("open.log", False, "SELECT COUNT(event_id) AS n, MAX(Int(event_id)) AS last FROM ./open.log", "SELECT count(*) - 1 AS n, max(event_id) - 1 AS last FROM events"),
+    "gzip_single": ("one.log.gz", True, _SUMS.format(**_NAMES).replace("$log", "./one.log.gz"), _SUMS_SQL),
+    "default_range": ("ranged.log", False, "SELECT COUNT(*) AS n FROM ./ranged.log", "SELECT count(*) AS n FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'"),
+}
+
+
+def _single(spark: SparkSession, sf_dir: str, name: str, archive: bool) -> str:
+    """Write the events, by id, as one logfmt file under a new folder, which is returned; without a newline at the end unless it is the ranged one."""
+    folder = f"{_root(spark)}/single-{uuid.uuid4().hex}"
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select(_logfmt().alias("value"))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out = jvm.java.util.zip.GZIPOutputStream(out) if archive else out
+    first, held = True, []
+    for r in lines.toLocalIterator():  # a line after the other: a single file has a single writer
+        held.append(("" if first else "\n") + r["value"])
+        first = False
+        if len(held) == 8192:
+            out.write("".join(held).encode())
+            held = []
+    out.write(("".join(held) + ("\n" if name == "ranged.log" else "")).encode())
+    out.close()
+    return folder
+
+
+def _one_file(name: str, archive: bool, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        span = ("2024-01-05T00:00:00", "2024-01-10T00:00:00") if name == "ranged.log" else ()
+        return Engine(spark, _single(spark, sf_dir, name, archive), *span).sql(text)
+
+    return run
+
+
+def _printed(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What a sink prints of a program over the nations, by line."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import io
+
+        from .sinks import write
+
+        buffer = io.StringIO()
+        (result,) = engine(spark, sf_dir).results("SELECT n_nationkey AS k, n_name AS name, Int(n_name) AS none, n_nationkey > 10 AS big FROM $nation ORDER BY n_nationkey")
+        write(result, fmt, buffer)
+        shown = buffer.getvalue().removesuffix("\n").split("\n")
+        return spark.createDataFrame(list(enumerate(shown)), "at int, line string")
+
+    return run
+
+
+_NATIONS = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 + {first} AS at, {line} AS line FROM nation"
+PRINTED = {
+    "sink_json": ("JSON", _NATIONS.format(first=0, line="""'{"k":' || n_nationkey || ',"name":"' || n_name || '","none":null,"big":' || (n_nationkey > 10) || '}'""") + " UNION ALL SELECT count(*), '' FROM nation"),
+    "sink_tskv": ("TSKV", _NATIONS.format(first=0, line="'k=' || n_nationkey || chr(9) || 'name=' || n_name || chr(9) || 'none=null' || chr(9) || 'big=' || (n_nationkey > 10) || chr(9)") + " UNION ALL SELECT count(*), '' FROM nation"),
+    "sink_csv": ("CSVHeader", "SELECT 0 AS at, 'k,name,none,big' AS line UNION ALL " + _NATIONS.format(first=1, line="n_nationkey || ',' || n_name || ',null,' || (n_nationkey > 10)") + " UNION ALL SELECT count(*) + 1, '' FROM nation"),
+}
+
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or "file://" + tempfile.mkdtemp(prefix="logspark-")
+
+
 def _program(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).sql(text)
 
 
 def _rendered(render: Callable, text: str, gzip: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="logspark-")
-        folder = f"{root}/lines-{uuid.uuid4().hex}"
+        folder = f"{_root(spark)}/lines-{uuid.uuid4().hex}"
         lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(render().alias("value"))
         lines.write.option("lineSep", "\n").option("compression", "gzip" if gzip else "none").text(f"{folder}/log.d")
         program = text.replace("{path}", "./log.d") if "{path}" in text else "log = ./log.d\n" + text
@@ -258,8 +353,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _program(text) for k, (text, _) in PROGRAMS.items()}
     out |= {k: _rendered(render, text) for k, (render, text, _) in RENDERED.items()}
     out["gzip_group"] = _rendered(_logfmt, _SUMS.format(**_NAMES), gzip=True)
-    return out
+    out |= {k: _one_file(name, archive, text) for k, (name, archive, text, _) in SINGLE.items()}
+    return out | {k: _printed(fmt) for k, (fmt, _) in PRINTED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in PROGRAMS.items()} | {k: sql for k, (_, _, sql) in RENDERED.items()} | {"gzip_group": _SUMS_SQL}
+    return {k: sql for k, (_, sql) in PROGRAMS.items()} | {k: sql for k, (_, _, sql) in RENDERED.items()} | {"gzip_group": _SUMS_SQL} | {k: v[-1] for k, v in (SINGLE | PRINTED).items()}

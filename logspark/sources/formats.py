@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_fields, json_line
+from ..functions.jsonpath import json_fields, json_line, simple_field, simple_line
 
 LINE = "_line"
 #: Fixed value: keyless parts of a line have names up to this number.
@@ -37,6 +37,8 @@ def _keyless(parts: Column, k: int) -> Column:
 class Format:
     name: str
     time_format: str | None = None
+    #: Where every line's timestamp begins, from 1 on, if the format fixes it and nothing stands before it.
+    time_place: int | None = None
 
     def detect(self, line: str) -> bool:
         raise NotImplementedError
@@ -108,12 +110,9 @@ class Csv(Format):
     def field(self, line: Column, name: str) -> Column:
         if (k := anon_index(name)) is None:
             return F.lit(None).cast("string")
-        skip = rf"(?:{_CSV_FIELD},){{{k}}}" if k else ""
-        # With one character in front, a field that is missing and one that is empty differ.
-        raw = F.regexp_extract(F.concat(F.lit(","), self._stripped(line)), rf"\A,{skip}({_CSV_FIELD})(?:,|\z)", 0)
-        own = F.regexp_extract(F.concat(F.lit(","), self._stripped(line)), rf"\A,{skip}({_CSV_FIELD})(?:,|\z)", 1)
-        plain = F.when(F.startswith(own, F.lit('"')), F.replace(F.substring(own, F.lit(2), F.length(own) - 2), F.lit('""'), F.lit('"'))).otherwise(own)
-        return F.when(raw != "", plain)
+        # One expression for all fields of a line, which Spark evaluates once; a comma in front gives each field one.
+        own = F.get(F.regexp_extract_all(F.concat(F.lit(","), self._stripped(line)), F.lit(rf",({_CSV_FIELD})"), F.lit(1)), F.lit(k))
+        return F.when(F.startswith(own, F.lit('"')), F.replace(F.substring(own, F.lit(2), F.length(own) - 2), F.lit('""'), F.lit('"'))).otherwise(own)
 
 
 class Tsv(Format):
@@ -133,7 +132,7 @@ class Tsv(Format):
 
 
 #: In the order of detection.
-ALL = (Tskv("TSKV", "SQL"), TsLogfmt("TS_LOGFMT", "ORACLE"), Jsonl("JSONL"), Csv("CSV"), Tsv("TSV"))
+ALL = (Tskv("TSKV", "SQL"), TsLogfmt("TS_LOGFMT", "ORACLE", 2), Jsonl("JSONL"), Csv("CSV"), Tsv("TSV"))
 
 
 def detect(line: str) -> Format | None:
@@ -148,8 +147,10 @@ def parse(lines, fmt: Format | None, names: list[str]):
     if not wanted:
         return lines.select(*line)
     if fmt.name == "JSONL":
-        row = lines.select("value", json_line(value, wanted).alias("parts")).filter("parts is not null")
-        return row.select(*[F.get("parts", F.lit(i)).alias(k) for i, k in enumerate(wanted)], *line)
+        # Lines of a plain shape are read in place; only the others go to the scanner.
+        plain = simple_line(value)
+        row = lines.select("value", plain.alias("plain"), json_line(F.when(~plain, value), wanted).alias("parts")).filter("plain or parts is not null")
+        return row.select(*[F.when(F.col("plain"), simple_field(value, k)).otherwise(F.get("parts", F.lit(i))).alias(k) for i, k in enumerate(wanted)], *line)
     valid = fmt.valid(value)
     kept = lines if valid is None else lines.filter(valid)
     return kept.select(*[c.alias(k) for k, c in fmt.fields(value, wanted).items()], *line)
