@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +54,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    df.write.parquet(path)
+    return owned(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    """The folder goes with the driver, if ``release`` doesn't delete it before."""
     if not _written:
         atexit.register(_at_exit, spark)
     _written.add(path)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._logspark_path = path
-    return out
+
+
+def owned(df: DataFrame, path: str) -> DataFrame:
+    """``df`` reads a folder of its own, which ``release`` deletes."""
+    _remember(df.sparkSession, path)
+    df._logspark_path = path
+    return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialise`` writes meanwhile, at the end."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in _written - before:
+            _delete(spark, path)
+            _written.discard(path)
 
 
 def release(df: DataFrame) -> None:

@@ -4,19 +4,12 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-import xxhash
-from test_documents import brute_components, rows
+from test_documents import _kept, rows
+from test_jaccard import brute_kept
 
 from logspark.llm import langid
 
 
-def fingerprint(text, size):
-    words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-
 @pytest.fixture(scope="module")
 def stages(spark, sf, tmp_path_factory):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
@@ -45,9 +38,9 @@ def test_exact(stages):
 
 
 def test_near(stages):
+    """By brute-force Jaccard similarity; the links of op8_simhash, four bits of 4-word fingerprints, are another contract."""
     table = rows(stages[1])
-    comp = brute_components([r["doc_id"] for r in table], [fingerprint(r["text"], 4) for r in table])
-    assert sorted(r["doc_id"] for r in rows(stages[2])) == sorted(set(comp))
+    assert sorted(r["doc_id"] for r in rows(stages[2])) == brute_kept([(r["doc_id"], r["text"]) for r in table])
 
 
 def test_mixed_and_packed(stages):
@@ -68,3 +61,33 @@ def test_gibberish_is_rejected(spark, documents):
     odd = spark.createDataFrame([(10_001, "漢字仮名交文章 " * 30, None, "x", 1), (10_002, "12 34 !!", None, "x", 1), (10_003, None, None, "x", 1)], documents.schema)
     kept = {r["doc_id"] for r in rows(langid.accepted(documents.unionByName(odd)))}
     assert not kept & {10_001, 10_002, 10_003} and len(kept) > 150
+
+
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_stages_on_odd_and_empty_tables(spark, request, sf, name):
+    """Each stage by itself on nulls, empty and long texts, ties, repeated rows and clashing columns; rows are told apart by id and text."""
+    docs = request.getfixturevalue(name)
+    table = rows(docs)
+    got = {n: rows(stage(spark, docs, sf)) for n, stage in corpus_pipeline.STAGES}
+    own = lambda r: (str(r["doc_id"]), r["text"])
+    lettered = Counter(own(r) for r in table if any(c.isalpha() for c in r["text"] or ""))
+    assert set(map(own, got["language"])) <= set(lettered)
+    assert all(n == lettered[k] for k, n in Counter(map(own, got["language"])).items())
+    assert {(i, (t or "")[:60] + str(len(t or ""))) for i, t in map(own, got["exact"])} == _kept(docs)
+    assert len(got["near"]) == len(brute_kept([((r["doc_id"] is None, r["doc_id"] or 0), r["text"]) for r in table]))
+    worded = {own(r) for r in table if (r["text"] or "").strip(" \t\n\x0b\x0c\r")}
+    assert set(map(own, got["mixed"])) <= worded and all(n <= 6 for n in Counter(map(own, got["mixed"])).values())
+    assert Counter(str(r["doc_id"]) for r in got["packed"] if r["piece"] == 0) == Counter(str(r["doc_id"]) for r in table)
+    assert all(set(got[n][0]) == set(corpus_pipeline.COLUMNS) for n in ("language", "exact", "near", "mixed") if got[n])
+
+
+def test_run_leaves_little_behind(spark, sf):
+    import pathlib
+
+    from logspark.llm._common import shared_dir
+
+    root = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in root.iterdir()}
+    corpus_pipeline.run(spark, sf).count()
+    stages = {p.name for p in root.iterdir() if p.name.startswith("stage-")} - before
+    assert len(stages) == 1 and next(iter(stages)).startswith("stage-mixed")
