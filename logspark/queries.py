@@ -319,6 +319,20 @@ def _printed(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that follows a folder of log files; its batches are written and read back."""
+    from .streaming import follow
+
+    root = f"{_root(spark)}/follow-{uuid.uuid4().hex}"
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(_logfmt().alias("value"))
+    lines.repartition(3).write.option("lineSep", "\n").text(f"{root}/in")
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")  # noqa: E731  a repeated batch replaces itself
+    program = "SELECT Int(event_id) AS event_id, event_type, LOWER(event_type) IN ('click', 'view') AS some FROM log.txt WHERE Float(value) > 50.0"
+    follow(engine(spark, sf_dir), program, f"{root}/in", "TS_LOGFMT", sink, f"{root}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "some")
+
+
+_FOLLOWED_SQL = "SELECT event_id, event_type, lower(event_type) IN ('click', 'view') AS some FROM events WHERE round(value, 2)::DECIMAL(18,2)::FLOAT > 50.0::FLOAT"
 _NATIONS = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 + {first} AS at, {line} AS line FROM nation"
 PRINTED = {
     "sink_json": ("JSON", _NATIONS.format(first=0, line="""'{"k":' || n_nationkey || ',"name":"' || n_name || '","none":null,"big":' || (n_nationkey > 10) || '}'""") + " UNION ALL SELECT count(*), '' FROM nation"),
@@ -354,8 +368,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {k: _rendered(render, text) for k, (render, text, _) in RENDERED.items()}
     out["gzip_group"] = _rendered(_logfmt, _SUMS.format(**_NAMES), gzip=True)
     out |= {k: _one_file(name, archive, text) for k, (name, archive, text, _) in SINGLE.items()}
+    out["stream_follow"] = _followed
     return out | {k: _printed(fmt) for k, (fmt, _) in PRINTED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in PROGRAMS.items()} | {k: sql for k, (_, _, sql) in RENDERED.items()} | {"gzip_group": _SUMS_SQL} | {k: v[-1] for k, v in (SINGLE | PRINTED).items()}
+    return {k: sql for k, (_, sql) in PROGRAMS.items()} | {k: sql for k, (_, _, sql) in RENDERED.items()} | {"gzip_group": _SUMS_SQL} | {"stream_follow": _FOLLOWED_SQL} | {k: v[-1] for k, v in (SINGLE | PRINTED).items()}

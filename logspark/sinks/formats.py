@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
 import unicodedata
 from collections.abc import Iterator
 from typing import TextIO
@@ -57,16 +58,29 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+#: Bytes of a table that stay in memory while its widths are found; more go to a file.
+_IN_MEMORY = 16 << 20
+
+
 def table_rows(names: list[str], rows: Iterator) -> Iterator[str]:
-    """Buffered for its widths; nothing at all for no rows."""
-    body = [[_shown(plain(v)) for v in row] for row in rows]
-    if not body:
-        return
-    lines = [[_shown(n) for n in names], *body]
-    widths = [max(_width(line[i]) for line in lines) for i in range(len(names))]
-    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-    show = lambda line: "|" + "|".join(f" {c}{' ' * (w - _width(c))} " for c, w in zip(line, widths, strict=True)) + "|"
-    yield from (rule, show(lines[0]), rule, *map(show, body), rule)
+    """Gone through once for its widths, kept in a file meanwhile, so that a long table takes disk and not memory; nothing at all for no rows."""
+    heads = [_shown(n) for n in names]
+    widths, some = [_width(h) for h in heads], False
+    with tempfile.SpooledTemporaryFile(_IN_MEMORY, "w+", encoding="utf-8", newline="\n") as body:
+        for row in rows:
+            line = [_shown(plain(v)) for v in row]
+            widths = [max(w, _width(c)) for w, c in zip(widths, line, strict=True)]
+            body.write("\t".join(line) + "\n")  # no cell holds a tab or a line break any more
+            some = True
+        if not some:
+            return
+        rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+        show = lambda line: "|" + "|".join(f" {c}{' ' * (w - _width(c))} " for c, w in zip(line, widths, strict=True)) + "|"
+        yield from (rule, show(heads), rule)
+        body.seek(0)
+        for line in body:
+            yield show(line[:-1].split("\t"))
+        yield rule
 
 
 FORMATS = {"JSON": json_rows, "TSKV": tskv_rows, "CSVHeader": csv_rows, "PrettyTable": table_rows}
