@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .sources import files
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -276,7 +278,7 @@ SINGLE: dict[str, tuple[str, bool, str, str]] = {
 
 def _single(spark: SparkSession, sf_dir: str, name: str, archive: bool) -> str:
     """Write the events, by id, as one logfmt file under a new folder, which is returned; without a newline at the end unless it is the ranged one."""
-    folder = f"{_root(spark)}/single-{uuid.uuid4().hex}"
+    folder = _folder(spark, "single")
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select(_logfmt().alias("value"))
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -323,7 +325,7 @@ def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program that follows a folder of log files; its batches are written and read back."""
     from .streaming import follow
 
-    root = f"{_root(spark)}/follow-{uuid.uuid4().hex}"
+    root = _folder(spark, "follow")
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(_logfmt().alias("value"))
     lines.repartition(3).write.option("lineSep", "\n").text(f"{root}/in")
     sink = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")  # noqa: E731  a repeated batch replaces itself
@@ -341,11 +343,15 @@ PRINTED = {
 }
 
 
-def _root(spark: SparkSession) -> str:
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that executors reach; it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root or "file://" + tempfile.mkdtemp(prefix="logspark-")
+    path = f"{root or 'file://' + tempfile.mkdtemp(prefix='logspark-')}/{kind}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(files.drop, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+    return path
 
 
 def _program(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -354,7 +360,7 @@ def _program(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _rendered(render: Callable, text: str, gzip: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = f"{_root(spark)}/lines-{uuid.uuid4().hex}"
+        folder = _folder(spark, "lines")
         lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(render().alias("value"))
         lines.write.option("lineSep", "\n").option("compression", "gzip" if gzip else "none").text(f"{folder}/log.d")
         program = text.replace("{path}", "./log.d") if "{path}" in text else "log = ./log.d\n" + text

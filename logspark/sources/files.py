@@ -177,11 +177,12 @@ def command_lines(spark: SparkSession, command: str) -> DataFrame:
             messages.seek(max(0, messages.seek(0, os.SEEK_END) - _MESSAGES))
             fs.delete(at.getParent(), True)
             raise SourceError(f"command failed with {code}: {messages.read().decode('utf-8', 'replace')}")
-    atexit.register(_drop, fs, at.getParent())
+    atexit.register(drop, fs, at.getParent())
     return spark.read.option("lineSep", "\n").text(at.toString())
 
 
-def _drop(fs, at) -> None:
+def drop(fs, at) -> None:
+    """Delete a folder, if its session still lives."""
     try:
         fs.delete(at, True)
     except Exception:  # the session is gone
