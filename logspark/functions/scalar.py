@@ -41,7 +41,9 @@ def cast(x: Column, source: str, target: str, wide: bool) -> Column:
         return F.length(x) > 0 if source == STRING else x != 0
     if source == STRING:
         if target == INTEGER:
-            return F.when(x.rlike(r"\A-?[0-9]+\z"), x.try_cast("bigint"))
+            # Spark would also take blanks around a number and a plus before it: a digit or a minus comes first, a digit last.
+            first, last = F.ascii(x), F.ascii(F.right(x, F.lit(1)))
+            return F.when((first.between(48, 57) | (first == 45)) & last.between(48, 57), x.try_cast("bigint"))
         number = F.when(x.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), x.try_cast("float"))
         return F.when(F.abs(number) < F.lit(float("inf")).cast("float"), number)
     if target == INTEGER:
