@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +115,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_caches: dict[str, dict] = {}
+
+
+def only_cache(name: str) -> dict:
+    """The cache of that name in this process; those of other operators are emptied, as Python workers outlive the stage they began with."""
+    for other, held in _caches.items():
+        if other != name:
+            held.clear()
+    return _caches.setdefault(name, {})
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which shares it between the JVM and the Python workers of an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, and ``trim`` behind the last one."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
 def let(value, body):
     """``body(x)`` with ``x`` bound once to ``value``: a lambda variable is evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

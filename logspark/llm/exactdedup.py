@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, materialise, numbered, only, partitions, release, renamed
+from ._common import let, materialise, numbered, only, partitions, release, renamed, trimmed
 
 #: Bytes of a block; a constant of the method.
 BLOCK_BYTES = 8192
@@ -80,7 +80,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     sorted_blocks = salted.select("doc_id", "text_sha256", "n", "pos", "block", "h", "salt").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "block")
     named = materialise(
-        sorted_blocks.mapInArrow(_name_sorted, f"doc_id {id_type}, text_sha256 string, n int, pos int, name long, rep binary"), "block-names"
+        sorted_blocks.mapInArrow(lambda it: trimmed(_name_sorted(it)), f"doc_id {id_type}, text_sha256 string, n int, pos int, name long, rep binary"), "block-names"
     )
     made.append(named)
     # Merge what salting split: a hot block has one name per salt, 16 * parts names in all at most.

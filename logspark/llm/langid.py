@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod5, numbered, only, renamed
+from ._common import crc_mod5, numbered, only, only_cache, renamed, trim, trimmed
 
 #: Code points of labelled text a language is learned from, and the most that one row gives.
 SAMPLE_CHARS = 32_768
@@ -71,11 +71,11 @@ class Model:
             table = np.vstack([table, np.full((1, width), -1, dtype=np.int64)])
             full = np.where(table >= 0, ((table + base) * width) << 1, (((restart + base) * width) << 1) | 1)
             full[:, width - 1] = ((np.arange(none + 1) + base) * width) << 1
-            tables.append(full)
+            tables.append(full.astype(np.int32) if full.max() < 2**31 else full)
             self.starts.append((none + base) * width)
             self.bits.append(math.log2(max(2, len(text))))
             base += none + 1
-        self.table = np.concatenate([t.ravel() for t in tables]).astype(np.int64 if base * width > 2**29 else np.int32)
+        self.table = np.concatenate([t.ravel() for t in tables])
 
     def normal(self, text: str) -> np.ndarray:
         """Classes of the lower-cased text, runs of non-letters as one gap."""
@@ -197,16 +197,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return draw(labelled, text_col, lang_col, sample_chars, seed)[0]
 
 
-_models: dict[int, Model] = {}
-
-
 def _model(samples: dict[str, str]) -> Model:
     """Built once in each Python process."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    key, models = hash(tuple(sorted(samples.items()))), only_cache("language models")
+    if key not in models:
+        models.clear()
+        models[key] = Model(samples)
+        trim()
+    return models[key]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], samples: dict[str, str]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +224,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text", ca
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double, phrase_rate double"
     base = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__text"))
-    return base.mapInArrow(lambda it: _predict(it, samples), schema)
+    return base.mapInArrow(lambda it: trimmed(_predict(it, samples)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -246,12 +244,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(base, samples, "text", ("doc_id", "held_out"))
 
 
-def rate_limit(samples: dict[str, str], spare: list[str]) -> float:
+def rate_limit(spark: SparkSession, samples: dict[str, str], spare: list[str]) -> float:
     """The most phrases a character that a text may need in its best language: MARGIN times what labelled slices outside the samples need."""
-    long = [s for s in spare if len(s) >= SHORT_TEXT]
+    long = [(k, s) for k, s in enumerate(spare) if len(s) >= SHORT_TEXT]
     if not samples or not long:
         return MOST_PHRASES
-    return float(min(MOST_PHRASES, max(LEAST_RATE, MARGIN * _model(samples).predict(long)[2].max())))
+    most = predict(spark.createDataFrame(long, "doc_id int, text string"), samples).agg(F.max("phrase_rate")).first()[0]
+    return float(min(MOST_PHRASES, max(LEAST_RATE, MARGIN * most)))
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_phrases: float | None = None) -> DataFrame:
@@ -262,7 +261,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     stay and fare alike. An empty table, or one without labels, gives an empty result.
     """
     samples, spare = draw(docs.filter(~held_out(id_col)), text_col, lang_col)
-    limit = rate_limit(samples, spare) if most_phrases is None else most_phrases
+    limit = rate_limit(docs.sparkSession, samples, spare) if most_phrases is None else most_phrases
     plain, names = numbered(docs)
     kept = predict(plain, samples, names[text_col], tuple(plain.columns)).filter(
         (F.col("lang_pred") != "und") & ((F.col("phrase_rate") <= limit + SLACK / F.length(names[text_col])) | (F.length(names[text_col]) < SHORT_TEXT))

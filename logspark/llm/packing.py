@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, only
+from ._common import materialise, only, trimmed
 from .tokenize import load
 
 CAPACITY = 4096
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     """(row, doc_id, piece, start, length, ids_crc32) of every document; ``row`` is a number of the piece."""
     base = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = dict(docs.dtypes)[id_col]
-    return base.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return base.mapInArrow(lambda it: trimmed(_pieces(it, tokenizer, end_id, capacity)), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

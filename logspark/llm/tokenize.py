@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from ._common import only_cache
+
 #: Characters whose case folding, normal form and class are the same in every library that takes part.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įĴ-ķĹ-ľŁ-ňŊ-ŷ]")
 _LETTERS = "a-zß-öø-ŷ"
@@ -72,16 +74,14 @@ class WordTokenizer:
         return out
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def load(path: str) -> WordTokenizer:
     """The tokenizer of a file, once per process. A bare name is looked up among the public tokenizers."""
-    if path not in _loaded:
+    loaded = only_cache("tokenizers")
+    if path not in loaded:
         at = path
         if "/" not in path:
             import public_tokenizers
 
             at = public_tokenizers.path(path)
-        _loaded[path] = WordTokenizer(at)
-    return _loaded[path]
+        loaded[path] = WordTokenizer(at)
+    return loaded[path]
