@@ -108,3 +108,25 @@ def test_runs_of_a_token_across_batches():
     for cut in range(8):
         got = [[c.tolist() for c in cell] for cell in jaccard._cells(iter([batch(0, cut), batch(cut, 7)]), 3) if len(cell[0]) > 1]
         assert got == [[[1, 1], [5, 5], [1, 2]], [[3, 3], [5, 6], [1, 3]]]
+
+
+def test_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """Most copies resemble their origin and not each other: pairs that are compared one by one don't grow with the square of the group."""
+    rnd, out = random.Random(9), []
+    base = [f"w{k}" for k in range(150)]
+    for _ in range(400):
+        text = list(base)
+        for at in rnd.sample(range(5, 145), rnd.randrange(1, 4)):
+            text[at] = f"x{rnd.randrange(10**9)}"
+        out.append(" ".join(text))
+    table = list(enumerate([*out, " ".join(base)]))
+    made, own = {}, jaccard.materialise
+
+    def counted(df, name):
+        done = own(df, name)
+        made[name] = done.count()
+        return done
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    assert sorted(r["doc_id"] for r in rows(jaccard.keep_one(spark.createDataFrame(table, "doc_id long, text string").repartition(3)))) == brute_kept(table)
+    assert made["chains"] + made["across"] < 10 * len(table), made
