@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_documents import rows
 
-from logspark.llm import jaccard
+from logspark.llm import jaccard, simhash
 
 
 def brute_kept(table):
@@ -130,3 +130,24 @@ def test_group_of_near_copies_costs_its_size(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialise", counted)
     assert sorted(r["doc_id"] for r in rows(jaccard.keep_one(spark.createDataFrame(table, "doc_id long, text string").repartition(3)))) == brute_kept(table)
     assert made["chains"] + made["across"] < 10 * len(table), made
+
+
+def test_fingerprint_is_simhash_of_the_set():
+    words = [f"w{k}" for k in range(40)]
+    s = jaccard.shingle_set(" ".join(words))
+    assert jaccard.fingerprint(s) == int(simhash.fingerprints_of([" ".join(words)], jaccard.SHINGLE).view(np.int64)[0])
+    assert jaccard.fingerprint(s[:0]) == 0
+    many = np.random.default_rng(1).integers(0, 2**64, 40_000, dtype=np.uint64)
+    assert jaccard.fingerprint(many) == sum(1 << b for b in range(63) if 2 * int((many >> np.uint64(b) & np.uint64(1)).sum()) > 40_000) - (2 * int((many >> np.uint64(63)).sum()) > 40_000) * 2**63
+
+
+def test_stage_takes_links_from_fingerprints(spark, monkeypatch):
+    """Without the search by prefixes, texts within four bits are linked, if they are similar."""
+    monkeypatch.setattr(jaccard, "_chains", lambda batches: (b for b in batches if False))
+    words = [f"w{k}" for k in range(400)]
+    s = lambda t: jaccard.fingerprint(jaccard.shingle_set(t)) & (1 << 64) - 1
+    text = " ".join(words)
+    near = next(t for k in range(400) if 0 < (s(t := " ".join(words[:k] + ["x"] + words[k + 1 :])) ^ s(text)).bit_count() <= 4)
+    rnd = random.Random(3)
+    alike = [(0, text), (1, near), (2, " ".join(rnd.sample(words, 400)))]
+    assert sorted(r["doc_id"] for r in rows(jaccard.keep_one(spark.createDataFrame(alike, "doc_id long, text string")))) == [0, 2]
