@@ -12,53 +12,30 @@ names it got there are merged afterwards. Higher levels name aggregated pairs, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import let, materialise, numbered, only, partitions, release, renamed, trimmed
+from ._common import let, materialise, numbered, only, partitions, release, renamed
 
 #: Bytes of a block; a constant of the method.
 BLOCK_BYTES = 8192
-_NAME_BITS = 36
-
-
-def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the runs of equal (hash, salt, block) of a sorted partition; the first row of a run in a salted group keeps its block."""
-    name = (TaskContext.get().partitionId() << _NAME_BITS) - 1
-    last: tuple = (None, None, None)
-    for batch in batches:
-        cols = {n: batch.column(n) for n in batch.schema.names}
-        blocks, n = cols["block"], batch.num_rows
-        if not n:
-            continue
-        h = cols["h"].to_numpy(zero_copy_only=False)
-        salt = cols["salt"].to_numpy(zero_copy_only=False)
-        new = np.ones(n, dtype=bool)
-        same = np.flatnonzero((h[1:] == h[:-1]) & (salt[1:] == salt[:-1])) + 1
-        for i in same.tolist():
-            new[i] = blocks[i] != blocks[i - 1]
-        new[0] = not (last[0] == h[0] and last[1] == salt[0] and last[2] == blocks[0].as_py())
-        names = name + np.cumsum(new)
-        name = int(names[-1])
-        last = (h[-1], salt[-1], blocks[n - 1].as_py())
-        first = pa.array(~(new & (salt > 0)))
-        rep = pa.compute.if_else(first, pa.scalar(None, pa.binary()), blocks)
-        yield pa.RecordBatch.from_arrays(
-            [cols["doc_id"], cols["text_sha256"], cols["n"], cols["pos"], pa.array(names, pa.int64()), rep],
-            names=["doc_id", "text_sha256", "n", "pos", "name", "rep"],
-        )
+
+
+def _named(blocks: DataFrame) -> DataFrame:
+    """One name for the equal (h, salt, block) of a partition; the row that gave the name keeps its block in ``rep`` if its group is salted.
+
+    Blocks are sorted and compared where the shuffle left them: Spark's sort spills, and a group is at most a hot block's share of a task.
+    """
+    name = F.min("row").over(Window.partitionBy("h", "salt", "block"))
+    rep = F.when((F.col("salt") > 0) & (F.col("row") == F.col("name")), F.col("block"))
+    rows = blocks.withColumn("row", F.monotonically_increasing_id()).withColumn("name", name)
+    return rows.select("doc_id", "text_sha256", "n", "pos", "name", rep.alias("rep"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, made: list[DataFrame] | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_sha256, level, name, copies (repeated rows). ``made`` gets the tables that the result reads."""
     made = [] if made is None else made
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    id_type = dict(docs.dtypes)[id_col]
     base = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(block_bytes))).cast("int")
     sizes = base.agg(F.sum(size).alias("n"), F.max(size).alias("longest")).first()
@@ -78,10 +55,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = blocks.join(F.broadcast(hot_df), "h", "left").withColumn(
         "salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("doc_id", "pos", "text_sha256"), F.col("salts"))).cast("int")
     )
-    sorted_blocks = salted.select("doc_id", "text_sha256", "n", "pos", "block", "h", "salt").repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "block")
-    named = materialise(
-        sorted_blocks.mapInArrow(lambda it: trimmed(_name_sorted(it)), f"doc_id {id_type}, text_sha256 string, n int, pos int, name long, rep binary"), "block-names"
-    )
+    dealt = salted.select("doc_id", "text_sha256", "n", "pos", "block", "h", "salt").repartition(parts, "h", "salt")
+    named = materialise(_named(dealt), "block-names")
     made.append(named)
     # Merge what salting split: a hot block has one name per salt, 16 * parts names in all at most.
     reps = named.filter(F.col("rep").isNotNull()).select("rep", "name")

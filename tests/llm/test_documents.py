@@ -56,6 +56,26 @@ def test_dedup_hot_block(spark):
     assert all(r["group_size"] == 1000 for r in got if r["doc_id"] % 3 == 0)
 
 
+def test_dedup_in_the_jvm(spark, odd, monkeypatch):
+    """Blocks are named where the shuffle left them: no copies of them in Arrow buffers and Python workers beside the heap."""
+    plans, write = [], exactdedup.materialise
+    monkeypatch.setattr(exactdedup, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
+    exactdedup.exact_dedup(odd)
+    assert plans and not any("MapInArrow" in p or "Python" in p for p in plans)
+    # One shuffle brings equal blocks together; naming them adds none.
+    assert plans[0].split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+def test_dedup_equal_hashes(spark, monkeypatch):
+    """Names come from the blocks, not from their hashes, in salted groups and others."""
+    for n in (40, 400):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id % 20, repeat('=', 70)) as text")
+        with monkeypatch.context() as m:
+            m.setattr(exactdedup.F, "xxhash64", lambda *cols: exactdedup.F.lit(5).cast("long"))
+            got = rows(exactdedup.exact_dedup(docs, block_bytes=64))
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, n - 20 + i % 20, n // 20) for i in range(n)}
+
+
 def test_many_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(exactdedup, "RUN", 64)
     docs = spark.range(1000).selectExpr("case when id < 900 then 7 else id end as doc_id", "case when id < 900 then 'same' else 'other' end as text")
