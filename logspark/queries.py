@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .sinks import single
 from .sources import files
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -280,19 +281,7 @@ def _single(spark: SparkSession, sf_dir: str, name: str, archive: bool) -> str:
     """Write the events, by id, as one logfmt file under a new folder, which is returned; without a newline at the end unless it is the ranged one."""
     folder = _folder(spark, "single")
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select(_logfmt().alias("value"))
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out = jvm.java.util.zip.GZIPOutputStream(out) if archive else out
-    first, held = True, []
-    for r in lines.toLocalIterator():  # a line after the other: a single file has a single writer
-        held.append(("" if first else "\n") + r["value"])
-        first = False
-        if len(held) == 8192:
-            out.write("".join(held).encode())
-            held = []
-    out.write(("".join(held) + ("\n" if name == "ranged.log" else "")).encode())
-    out.close()
+    single.write(lines, f"{folder}/{name}", archive, ended=name == "ranged.log")
     return folder
 
 
