@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logspark import queries as core
 from logspark.sinks import single
 
-NAMES = ("ranged.log", "open.log")
+NAMES = ("ranged.log", "open.log", "one.log.gz")
 
 
 @pytest.fixture
