@@ -224,8 +224,10 @@ class Lowering:
     # ---- expressions
 
     def match(self, e: Expr) -> tuple[DataFrame, str]:
+        """What an IN looks in. Spark doesn't know the size of rows that stand in the program: without a hint it deals out the other side by key."""
         own = e.data.fields()[0]
-        return self.frame(e.data, frozenset([own])), own.column
+        df = self.frame(e.data, frozenset([own]))
+        return F.broadcast(df) if _short(e.data) else df, own.column
 
     def filter(self, df: DataFrame, e: Expr, env: Env) -> DataFrame:
         """A bare IN is a semi-join, its negation an anti-join; any other IN becomes a column first."""
@@ -282,6 +284,13 @@ class Lowering:
         return scalar.call(e, [self.column(a, env, meets or wide) for a in e.args])
 
 
+def _short(rel: r.Relation) -> bool:
+    """Whether a relation has no more rows than the program: literals and what is made of each of them, or one row of aggregates."""
+    if isinstance(rel, r.Select) and rel.aggregated and rel.keys is None:
+        return True
+    return isinstance(rel, r.Values) or isinstance(rel, (r.Select, r.Alias, r.Materialize, r.Union)) and all(_short(x) for x in rel.inputs())
+
+
 def scalar_column(f: Field, wide: bool) -> Column:
     """A catalog column in the width of its type."""
     x = F.col(f"`{f.name}`")
